@@ -47,7 +47,7 @@ def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 P1_PERIODS = """
   valid as (
-    select reference, strand, start, stop from loci
+    select distinct reference, strand, start, stop from loci
     where reference is not null and strand is not null and start <= stop),
   reach as (
     select *, max(stop) over (partition by reference, strand order by start, stop
