@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axisframe.session import shuffle_partitions
+from axisframe.session import ship, shuffle_partitions
 
 #: Positions per block: no state holds more disjoint intervals than this.
 BLOCK = 1 << 20
@@ -149,6 +149,7 @@ def disjoint_blocks(df: DataFrame, keys: list[str], start: str | Column, stop: s
     start, stop = (F.col(c) if isinstance(c, str) else c for c in (start, stop))
     rows = df.select(*keys, start.cast("long").alias("start"), stop.cast("long").alias("stop")).where("start <= stop")
     rows = rows.withColumn("_block", F.floor(F.col("start") / F.lit(block)).cast("long"))
+    ship(df.sparkSession)
     groups = [*keys, "_block"]
     arrow = _arrow_schema(rows, groups)
     fields = [rows.schema[k] for k in groups]
