@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from axisframe.llm.communities import similarity_clusters
 from axisframe.llm.mixing import mixture
 from axisframe.llm.tokenizer import encode_corpus
 from axisframe.session import table
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = similarity_clusters(table(spark, sf, "read_tips"), ["reference", "strand"], "tip", "read_id", radius=60, members=5)
+    return found.selectExpr("reference", "strand", "first as first_tip", "last as last_tip", "n as n_reads", "typical as typical_tip")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -24,8 +30,26 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p5_found, p6_ids, p7_mixture, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": """
+            with once as (
+              select distinct read_id, reference, strand, tip from read_tips
+              where reference is not null and strand is not null and tip is not null),
+            placed as (
+              select *, row_number() over w as i, lead(tip, 4) over w as hi from once
+              window w as (partition by reference, strand order by tip, read_id)),
+            fives as (select * from placed where hi - tip <= 60),
+            broken as (
+              select *, case when i - lag(i) over (partition by reference, strand order by i) < 5 then 0 else 1 end as brk from fives),
+            chained as (select *, sum(brk) over (partition by reference, strand order by i rows unbounded preceding) as k from broken),
+            found as (
+              select reference, strand, min(tip) as first_tip, max(hi) as last_tip, max(i) - min(i) + 5 as n_reads,
+                     (min(i) + max(i) + 4) // 2 as middle
+              from chained group by reference, strand, k)
+            select f.reference, f.strand, f.first_tip, f.last_tip, f.n_reads, m.tip as typical_tip
+            from found f join placed m on m.reference = f.reference and m.strand = f.strand and m.i = f.middle""",
+    }
