@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from axisframe.llm.communities import similarity_clusters
 from axisframe.llm.mixing import mixture
+from axisframe.llm.spans import shared_characters
 from axisframe.llm.tokenizer import encode_corpus
 from axisframe.session import table
 
@@ -29,8 +30,12 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_characters(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p5_found, p6_ids, p7_mixture, p7_shares, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
