@@ -32,6 +32,10 @@ from axisframe.session import cut, ship
 
 SPAN = 120
 KMER, WINDOW, LOOKBACK = 28, 76, 16
+#: Every so many windows one is looked at first.
+GRID = 8
+#: Bitmaps of 32768 bits in the filter that spares texts a shuffle.
+BITMAPS = 512
 #: Characters a task works on at once.
 CHUNK = 1 << 20
 
@@ -159,28 +163,56 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner], owner
 
 
-def _windows(schema: pa.Schema, span: int):
-    """Windows to look at: rows are (id, text, lows, highs, marks).
+def _places(batch: pa.RecordBatch, column: int, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column as places in the joined texts, and the row of each."""
+    lists = batch.column(column)
+    owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+    return t.starts[owner] + np.asarray(lists.flatten()).astype(np.int64), owner
 
-    All windows around the k-mers at ``marks``, and the window that begins at each k-mer between lows and highs.
+
+def _probes(schema: pa.Schema, span: int):
+    """Windows looked at first; rows are (doc, text, lows, highs, marks).
+
+    Around each marked k-mer every GRID-th window, with the core that it and the GRID - 1 windows before it have in
+    common; and the window that begins at each k-mer between lows and highs (``mark`` -1, its own core).
     """
+    core, steps = span - GRID + 1, -(-(span - KMER + 1) // GRID)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunks(batches):
             t = Texts(texts)
-
-            def places(column: int) -> tuple[np.ndarray, np.ndarray]:
-                lists = batch.column(column)
-                owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
-                return t.starts[owner] + np.asarray(lists.flatten()).astype(np.int64), owner
-
-            (low, _), (high, _), (mark, owner) = places(2), places(3), places(4)
-            around, _ = _ranges(np.maximum(mark + KMER - span, t.starts[owner]), np.minimum(mark, t.starts[owner + 1] - span))
+            (low, _), (high, _), (mark, owner) = _places(batch, 2, t), _places(batch, 3, t), _places(batch, 4, t)
+            at = (mark[:, None] - GRID * np.arange(steps)).ravel()
+            home, of = np.repeat(owner, steps), np.repeat(mark - t.starts[owner], steps)
+            good = (at >= t.starts[home]) & (at + core <= t.starts[home + 1])
+            at, home, of = at[good], home[good], of[good]
+            c = t.hashes(at, core)
+            fits = at + span <= t.starts[home + 1]
+            f = c.copy()
+            f[fits] = t.hashes(at[fits], span)
             kept, _ = t.kept() if len(low) else (low, low)
             inner, _ = _ranges(np.searchsorted(kept, low), np.searchsorted(kept, high, "right") - 1)
             inner = kept[inner]
-            inner = inner[inner + span <= t.starts[np.searchsorted(t.starts, inner, "right")]]
-            at = np.unique(np.concatenate([around, inner]))
+            own = np.searchsorted(t.starts, inner, "right") - 1
+            good = inner + span <= t.starts[own + 1]
+            inner, own = inner[good], own[good]
+            g = t.hashes(inner, span)
+            home, at = np.concatenate([home, own]), np.concatenate([at, inner])
+            columns = [(at - t.starts[home]).astype(np.int32), np.concatenate([of, np.full(len(inner), -1)]).astype(np.int32), np.concatenate([c, g]), np.concatenate([f, g]), np.concatenate([fits, np.ones(len(inner), bool)])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(home)), *map(pa.array, columns)], schema=schema)
+
+    return run
+
+
+def _between(schema: pa.Schema, span: int):
+    """The GRID - 1 windows before each place; rows are (doc, text, places)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _chunks(batches):
+            t = Texts(texts)
+            place, owner = _places(batch, 2, t)
+            at, _ = _ranges(np.maximum(place - GRID + 1, t.starts[owner]), np.minimum(place - 1, t.starts[owner + 1] - span))
+            at = np.unique(at)
             home = np.searchsorted(t.starts, at, "right") - 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(home)), pa.array((at - t.starts[home]).astype(np.int32)), pa.array(t.hashes(at, span))], schema=schema)
 
@@ -239,12 +271,26 @@ def candidate_spans(edges: DataFrame) -> DataFrame:
     return on.groupBy("doc", "_s").agg(F.first("head").alias("path"), F.min("at").alias("low"), F.max("at").alias("high"), F.min_by("h", "at").alias("h_low"), F.max_by("h", "at").alias("h_high")).drop("_s")
 
 
+def prefilter(docs: DataFrame, ids: DataFrame, key: str = "doc") -> DataFrame:
+    """``docs`` without most rows whose key is not in ``ids``, to shuffle fewer texts; no key of ``ids`` is lost.
+
+    A bitmap of BITMAPS * 32768 bits, whatever the data, is what is broadcast; the more keys, the less it drops.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * 32768))
+    hashed = ids.select(bit(key).alias("_b"))
+    maps = hashed.groupBy(F.expr("_b div 32768").alias("_bucket")).agg(F.bitmap_construct_agg(F.expr("_b % 32768")).alias("_map"))
+    tested = docs.withColumn("_b", bit(key)).withColumn("_bucket", F.expr("_b div 32768")).join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_map, cast((_b % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return tested.where(F.getbit(byte, F.expr("cast(_b % 8 as int)")) == 1).select(*docs.columns)
+
+
 def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None, span: int) -> DataFrame:
-    """(doc, at) of the windows looked at that stand in two documents.
+    """(doc, at) of windows that stand in two documents; between successive ones at most GRID apart all are.
 
-    Which windows are looked at is a matter of the k-mers alone (``marks`` holds all occurrences of the marked
-    ones), so a window is looked at in every document it stands in, or in none. A document's lists are no longer
-    than its k-mers.
+    Which windows are looked at is a matter of the k-mers and the texts around them alone (``marks`` holds all
+    occurrences of the marked ones), so a window is looked at in every document it stands in, or in none: a
+    block of windows is opened wherever its core stands as soon as one document leaves it open. A document's
+    lists are no longer than its k-mers.
     """
     each = marks.groupBy("doc").agg(F.collect_list("at").alias("marks"))
     none = F.array().cast("array<int>")
@@ -253,9 +299,24 @@ def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None,
     else:
         lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("x"))
         each = lists.join(each, "doc", "left").select("doc", F.col("x.low").alias("lows"), F.col("x.high").alias("highs"), F.coalesce("marks", none).alias("marks"))
+    each = cut(each)
+    schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("mark", pa.int32()), ("c", pa.int64()), ("f", pa.int64()), ("fits", pa.bool_())])
+    held = prefilter(docs, each).join(each, "doc").select("doc", "text", "lows", "highs", "marks")
+    rows = cut(held.mapInArrow(_probes(schema, span), "doc long, at int, mark int, c long, f long, fits boolean"))
+    full = in_two(rows.where("fits"), "f").withColumn("fs", F.lit(True))
+    core = in_two(rows.where("mark >= 0"), "c").withColumn("cs", F.lit(True))
+    rows = rows.join(full, "f", "left").join(core, "c", "left")
+    rows = cut(rows.select("doc", "at", "mark", "c", (F.col("fits") & F.coalesce("fs", F.lit(False))).alias("fs"), F.coalesce("cs", F.lit(False)).alias("cs")).where("fs or cs"))
+    found = rows.where("fs").select("doc", "at")
+    grid = Window.partitionBy("doc", "mark").orderBy("at")
+    settled = F.col("fs") & F.coalesce(F.lag("fs").over(grid) & (F.lag("at").over(grid) == F.col("at") - GRID), F.lit(False))
+    blocks = cut(rows.where("mark >= 0 and cs").withColumn("open", ~settled).select("doc", "at", "c", "open"))
+    opened = blocks.join(blocks.where("open").select("c").distinct(), "c", "left_semi").select("doc", "at").distinct()
+    places = cut(opened.groupBy("doc").agg(F.collect_list("at").alias("places")))
     schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
-    rows = cut(docs.join(each, "doc").select("doc", "text", "lows", "highs", "marks").mapInArrow(_windows(schema, span), "doc long, at int, h long"))
-    return rows.join(in_two(rows), "h", "left_semi").select("doc", "at")
+    held = prefilter(docs, places).join(places, "doc").select("doc", "text", "places")
+    between = cut(held.mapInArrow(_between(schema, span), "doc long, at int, h long"))
+    return found.unionByName(between.join(in_two(between), "h", "left_semi").select("doc", "at")).distinct()
 
 
 def islands(rows: DataFrame, reach: int) -> DataFrame:
