@@ -39,7 +39,7 @@ def parse_features(lines: DataFrame, value: str = "value") -> DataFrame:
 def annotation_intervals(lines: DataFrame, categories: list[str] | DataFrame, references: list[str] | None = None, value: str = "value") -> DataFrame:
     """reference, category, source '.', start, stop, element, ord of features whose type starts with a category."""
     cells = lines.where(is_feature(value)).select("ord", F.split(value, "\t").alias("c"))
-    rows = cells.select(decode_column(F.get("c", F.lit(0))).alias("reference"), decode_column(F.get("c", F.lit(2))).alias("element"), F.get("c", F.lit(3)).cast("long").alias("start"), F.get("c", F.lit(4)).cast("long").alias("stop"), "ord")
+    rows = cells.select(decode_column(F.get("c", F.lit(0))).alias("reference"), decode_column(F.get("c", F.lit(2))).alias("element"), F.get("c", F.lit(3)).try_cast("long").alias("start"), F.get("c", F.lit(4)).try_cast("long").alias("stop"), "ord")
     if references is not None:
         rows = rows.where(F.col("reference").isin([r.partition(":")[0] for r in references]))
     rows = categorise(rows, "element", categories)

@@ -37,7 +37,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     """Records with typed columns, ``tags`` and ``source``."""
     cells = lines.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(F.split("value", "\t").alias("c"), "source")
     kinds = {"flag": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
-    columns = [F.get("c", F.lit(i)).cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(SAM_COLUMNS)]
+    columns = [F.get("c", F.lit(i)).try_cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(SAM_COLUMNS)]
     return cells.select(*columns, F.slice("c", 12, F.greatest(F.size("c") - 11, F.lit(0))).alias("tags"), "source")
 
 
