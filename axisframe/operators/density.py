@@ -8,15 +8,19 @@ independent, most are settled by one aggregate, and only those that may split re
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axisframe.operators.batches import group_codes, sorted_groups
 from axisframe.operators.coverage import BLOCK
 from axisframe.operators.intervals import block_of, sweep, union
-from axisframe.session import cut, ship
+from axisframe.session import cut, ship, shuffle_partitions
 
 METHODS = ("DBICAN", "SDBICAN", "SDBICAN-aggressive")
 
@@ -28,8 +32,7 @@ def _check(min_points: int, *epsilons: int | None) -> None:
         raise ValueError("epsilon must not be negative")
 
 
-def sub_clusters(points: DataFrame, by: list[str], field: str, min_points: int, epsilon: int, block: int = BLOCK) -> DataFrame:
-    """Every stretch of ``min_points`` successive points at most ``epsilon`` long: by, ``start``, ``stop``."""
+def _stretches(points: DataFrame, by: list[str], field: str, min_points: int, epsilon: int, block: int) -> DataFrame:
     _check(min_points, epsilon)
     p = points.select(*by, F.col(field).cast("long").alias("_at")).where("_at is not null")
     places = F.array_distinct(F.array(block_of(F.col("_at"), block), block_of(F.col("_at") - F.lit(epsilon), block))) if epsilon < block else F.sequence(block_of(F.col("_at") - F.lit(epsilon), block), block_of(F.col("_at"), block))
@@ -37,12 +40,17 @@ def sub_clusters(points: DataFrame, by: list[str], field: str, min_points: int,
     w = Window.partitionBy(*by, "_block").orderBy("_at")
     p = p.withColumn("_hi", F.lead("_at", min_points - 1).over(w))
     p = p.where((F.col("_hi") - F.col("_at") <= epsilon) & (block_of(F.col("_at"), block) == F.col("_block")))
-    return p.select(*by, F.col("_at").alias("start"), F.col("_hi").alias("stop"))
+    return p.select(*by, F.col("_at").alias("start"), F.col("_hi").alias("stop"), "_block")
+
+
+def sub_clusters(points: DataFrame, by: list[str], field: str, min_points: int, epsilon: int, block: int = BLOCK) -> DataFrame:
+    """Every stretch of ``min_points`` successive points at most ``epsilon`` long: by, ``start``, ``stop``."""
+    return _stretches(points, by, field, min_points, epsilon, block).drop("_block")
 
 
 def dbican(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, epsilon: int = 250, block: int = BLOCK) -> DataFrame:
     """Flat clusters: by, ``start``, ``stop``."""
-    return union(sub_clusters(points, by, field, min_points, epsilon, block), by, block)
+    return union(_stretches(points, by, field, min_points, epsilon, block), by, block, "_block")
 
 
 def with_size(points: DataFrame, clusters: DataFrame, by: list[str], field: str = "tip", block: int = BLOCK) -> DataFrame:
@@ -178,19 +186,31 @@ def sdbican(points: DataFrame, by: list[str], field: str = "tip", min_points: in
     # Every point of a cluster lies in a stretch of at most epsilon, so one at or below epsilon / 2 throughout never forks above it.
     settled = sized.where(~may).select(*cluster).distinct()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at")
-        t = np.repeat(pdf["_at"].to_numpy(), pdf["_w"].to_numpy())
-        slices = split(t, min_points, epsilon, min_epsilon, aggressive)
-        head = pdf[by].iloc[:1]
-        out = head.loc[head.index.repeat(len(slices))].reset_index(drop=True)
-        out["start"] = np.array([t[a] for a, _ in slices], np.int64)
-        out["stop"] = np.array([t[b - 1] for _, b in slices], np.int64)
-        return out
-
+    nodes = sized.where(may).select(*cluster, "_at", "_w")
+    placed = nodes.repartition(shuffle_partitions(points.sparkSession), *cluster).sortWithinPartitions(*cluster, "_at")
     schema = T.StructType([*(p.schema[k] for k in by), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-    parted = sized.where(may).select(*cluster, "_at", "_w").groupBy(*cluster).applyInPandas(run, schema)
-    return settled.unionByName(parted)
+    return settled.unionByName(placed.mapInArrow(_splitter(by, min_points, epsilon, min_epsilon, aggressive), schema))
+
+
+def _splitter(by: list[str], m: int, epsilon: int, min_epsilon: int, aggressive: bool):
+    """Clusters of sorted (by, start, stop, _at, _w) rows, split; one pass over all clusters of a task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, [*by, "start", "stop"]):
+            code = group_codes(t, [*by, "start", "stop"])
+            first = np.append(np.flatnonzero(np.append(True, np.diff(code) > 0)), len(code))
+            at, weight = np.asarray(t.column("_at").combine_chunks()), np.asarray(t.column("_w").combine_chunks())
+            rows, starts, stops = [], [], []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                own = np.repeat(at[a:b], weight[a:b])
+                for x, y in split(own, m, epsilon, min_epsilon, aggressive):
+                    rows.append(a)
+                    starts.append(own[x])
+                    stops.append(own[y - 1])
+            columns = [t.column(k).combine_chunks().take(pa.array(rows, pa.int64())) for k in by]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], [*by, "start", "stop"])
+
+    return run
 
 
 def _automatic(p: DataFrame, by: list[str], m: int, min_epsilon: int, aggressive: bool) -> DataFrame:

@@ -16,16 +16,16 @@ def block_of(at, block: int):
     return F.floor(at / F.lit(block)).cast("long")
 
 
-def union(df: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
+def union(df: DataFrame, by: list[str], block: int = BLOCK, placed: str | None = None) -> DataFrame:
     """Intervals merged where they share positions: by, ``start``, ``stop``.
 
     ``9`` and ``10`` only touch and stay apart. Null ends and start > stop do not count, null keys are a key.
-    Only the largest stop of each start matters, so copies are gone before anything is sorted.
+    Only the largest stop of each start matters, so copies are gone before anything is sorted. ``placed`` names a
+    column that holds the block of each start already, by which ``df`` is distributed: nothing is shuffled again then.
     """
     marked = {k: f"_u{i}" for i, k in enumerate(by)}
-    rows = df.select(*(F.col(k).alias(v) for k, v in marked.items()), F.col("start").cast("long").alias("s"), F.col("stop").cast("long").alias("e")).where("s <= e")
+    rows = df.select(*(F.col(k).alias(v) for k, v in marked.items()), F.col("start").cast("long").alias("s"), F.col("stop").cast("long").alias("e"), F.col(placed).alias("_block") if placed else block_of(F.col("start"), block).alias("_block")).where("s <= e")
     keys = [*marked.values(), "_block"]
-    rows = rows.withColumn("_block", block_of(F.col("s"), block))
     rows = rows.groupBy(*keys, "s").agg(F.max("e").alias("e"))
     w = Window.partitionBy(*keys).orderBy("s")
     rows = rows.withColumn("_pm", F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -81,20 +81,16 @@ def sweep(points: DataFrame, disjoint: DataFrame, by: list[str], at: str, block:
     comes from one row per block. Points must not have columns named start or stop.
     """
     payload = [c for c in points.columns if c not in by]
-    p = points.where(F.col(at).isNotNull()).select(*by, F.col(at).cast("long").alias("_pos"), F.struct(*payload).alias("_row"), F.lit(None).cast("long").alias("_to"))
-    i = disjoint.select(*by, F.col("start").cast("long").alias("_pos"), F.lit(None).cast(p.schema["_row"].dataType).alias("_row"), F.col("stop").cast("long").alias("_to"))
-    both = p.unionByName(i).withColumn("_block", block_of(F.col("_pos"), block))
-    inside = Window.partitionBy(*by, "_block").orderBy("_pos", F.col("_to").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    begun = F.struct(F.col("_pos").alias("start"), F.col("_to").alias("stop"))
-    both = both.withColumn("_in", F.last(F.when(F.col("_to").isNotNull(), begun), ignorenulls=True).over(inside))
-    i = i.withColumn("_block", block_of(F.col("_pos"), block))
-    heads = i.groupBy(*by, "_block").agg(F.max(begun).alias("_head"))
-    # Intervals that leave their block are carried into every block up to their stop: one row each, no more.
-    carried = heads.where(F.floor(F.col("_head.stop") / F.lit(block)) > F.col("_block"))
-    carried = carried.select(*by, F.explode(F.sequence(F.col("_block") + 1, block_of(F.col("_head.stop"), block))).alias("_block"), F.col("_head").alias("_carry"))
-    joined = both.where("_row is not null").alias("p").join(carried.alias("c"), _same("p", "c", [*by, "_block"]), "left").select("p.*", "_carry")
-    hit = joined.withColumn("_hit", F.coalesce("_in", "_carry")).where((F.col("_pos") <= F.col("_hit.stop")) & (F.col("_pos") >= F.col("_hit.start")))
-    return hit.select(*by, "_row.*", F.col("_hit.start").alias("start"), F.col("_hit.stop").alias("stop"))
+    p = points.where(F.col(at).isNotNull()).select(*by, F.col(at).cast("long").alias("_pos"), F.struct(*payload).alias("_row"), F.lit(None).cast("struct<start:bigint,stop:bigint>").alias("_new"))
+    p = p.withColumn("_block", block_of(F.col("_pos"), block))
+    # An interval shows up in every block it reaches, at its start or at the block's.
+    i = disjoint.select(*by, F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).alias("_new"))
+    i = i.withColumn("_block", F.explode(F.sequence(block_of(F.col("_new.start"), block), block_of(F.col("_new.stop"), block))))
+    i = i.select(*by, F.greatest(F.col("_new.start"), F.col("_block") * block).alias("_pos"), F.lit(None).cast(p.schema["_row"].dataType).alias("_row"), "_new", "_block")
+    inside = Window.partitionBy(*by, "_block").orderBy("_pos", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = p.unionByName(i).withColumn("_in", F.last("_new", ignorenulls=True).over(inside))
+    hit = both.where(F.col("_row").isNotNull() & (F.col("_pos") <= F.col("_in.stop")))
+    return hit.select(*by, "_row.*", F.col("_in.start").alias("start"), F.col("_in.stop").alias("stop"))
 
 
 def contained_length(anchors: DataFrame, known: DataFrame, by: list[str], block: int = 1 << 14) -> DataFrame:

@@ -27,13 +27,16 @@ def parse_features(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     cells = F.split(F.trim(F.regexp_replace(F.col(value), "[\r\n]+$", "")), "\\s+")
     rows = lines.where(is_feature(value)).withColumn("_c", cells)
-    attributes = F.filter(F.split(F.coalesce(F.get("_c", F.lit(8)), F.lit("")), ";"), lambda a: a != "")
+    attributes = F.filter(F.split(F.coalesce(F.get("_c", F.lit(8)), F.lit("")), ";"), lambda a: (a != "") & ~F.substring_index(a, "=", 1).isin(*GFF_COLUMNS[:8]))
     pairs = F.transform(attributes, lambda a: F.struct(F.substring_index(a, "=", 1).alias("k"), F.get(F.split(a, "="), F.lit(1)).alias("v")))
     columns = F.array(*(F.struct(F.lit(n).alias("k"), F.get("_c", F.lit(i)).alias("v")) for i, n in enumerate(GFF_COLUMNS[:8])))
-    every = F.concat(pairs, columns)
-    # The last entry of each name stays: drop those that occur again later.
-    last = F.filter(F.transform(every, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i"))), lambda e: F.forall(F.slice(every, e["i"] + 2, F.size(every)), lambda later: later["k"] != e["k"]))
-    return rows.withColumn("fields", F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))).drop("_c")
+    rows = rows.withColumn("_a", pairs)
+    names = F.transform("_a", lambda e: e["k"])
+    # Only a line that repeats an attribute needs the search for the last one of each name.
+    later = lambda i: F.slice("_a", i + 2, F.size("_a"))
+    last = F.filter("_a", lambda e, i: F.forall(later(i), lambda x: x["k"] != e["k"]))
+    kept = F.when(F.size(F.array_distinct(names)) == F.size("_a"), F.col("_a")).otherwise(last)
+    return rows.withColumn("fields", F.map_from_entries(F.concat(kept, columns))).drop("_c", "_a")
 
 
 def annotation_intervals(lines: DataFrame, categories: list[str] | DataFrame, references: list[str] | None = None, value: str = "value") -> DataFrame:
