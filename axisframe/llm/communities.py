@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axisframe.operators.batches import group_codes, sorted_groups
 from axisframe.operators.coverage import periods_and_gaps
 from axisframe.session import cut, ship, shuffle_partitions
 
@@ -137,52 +138,13 @@ def linked_edges(group: np.ndarray, at: np.ndarray, count: np.ndarray, graph: np
     return a[keep], b[keep], inside
 
 
-def _sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by ``keys``; a group never spans two tables."""
-    held: list[pa.Table] = []
-    rows = 0
-
-    def last_group(t: pa.Table) -> int:
-        """First row of the last group."""
-        same = np.ones(t.num_rows, bool)
-        for k in keys:
-            c = t.column(k).combine_chunks()
-            c = c.dictionary_encode() if pa.types.is_string(c.type) else c
-            v = np.asarray(c.indices) if isinstance(c, pa.DictionaryArray) else np.asarray(c)
-            same &= v == v[-1]
-        return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-
-    for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
-        rows += batch.num_rows
-        if rows >= BATCH_NODES:
-            t = pa.concat_tables(held).combine_chunks()
-            edge = last_group(t)
-            if edge:
-                yield t.slice(0, edge)
-            held, rows = [t.slice(edge)], t.num_rows - edge
-    if rows:
-        yield pa.concat_tables(held).combine_chunks()
-
-
-def _codes(t: pa.Table, keys: list[str]) -> np.ndarray:
-    """Running number of the groups of a table sorted by ``keys``."""
-    head = np.zeros(t.num_rows, bool)
-    head[:1] = True
-    for k in keys:
-        c = t.column(k).combine_chunks()
-        v = np.asarray(c.dictionary_encode().indices) if pa.types.is_string(c.type) else np.asarray(c)
-        head[1:] |= v[1:] != v[:-1]
-    return np.cumsum(head) - 1
-
-
 def _cluster(keys: list[str], schema: pa.Schema, radius: int, members: int, resolution: float, block: int):
     """Nodes (keys, _block, _at, _n, _own) to communities: complete ones described, others as their own nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = [*keys, "_block"]
-        for t in _sorted_groups(batches, groups):
-            code = _codes(t, groups)
+        for t in sorted_groups(batches, groups, BATCH_NODES):
+            code = group_codes(t, groups)
             at, count = np.asarray(t.column("_at").combine_chunks()), np.asarray(t.column("_n").combine_chunks())
             number = np.asarray(t.column("_block").combine_chunks())
             graph, _ = neighbour_descent(code, at)
