@@ -16,7 +16,7 @@ MIN_POINTS, EPSILON, BUFFER, DISTANCE = 5, 400, 50, 100
 def tips(spark: SparkSession, sf: str) -> DataFrame:
     """Reads with no null part, each delivery once."""
     reads = table(spark, sf, "read_tips").select("read_id", "reference", "strand", "category", "source", "tip", F.col("me").alias("element"))
-    return reads.dropna("any").where("strand <> '.'").dropDuplicates(["read_id"]).drop("read_id")
+    return reads.dropna("any").where("strand <> '.'").distinct().drop("read_id")
 
 
 TIPS = """tips as (
@@ -26,7 +26,7 @@ TIPS = """tips as (
 
 def loci(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "loci").dropna("any").where("start <= stop")
-    return rows.dropDuplicates(["locus_id"]).select("locus_id", "reference", "strand", "category", "source", "start", "stop")
+    return rows.select("locus_id", "reference", "strand", "category", "source", "start", "stop").distinct()
 
 
 LOCI = """places as (
