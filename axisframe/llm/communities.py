@@ -80,10 +80,14 @@ def neighbour_descent(group: np.ndarray, at: np.ndarray, k: int = K, start: np.n
         graph = better
 
 
-def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float) -> np.ndarray:
-    """Community of each node of a weighted graph; deterministic, ties go to the lower number."""
+def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, graph: np.ndarray | None = None) -> np.ndarray:
+    """Community of each node of a weighted graph; deterministic, ties go to the lower number.
+
+    ``graph`` numbers separate graphs that are worked on together, each with a total weight of its own.
+    """
     label = np.arange(n)
-    total = w.sum()
+    of = np.zeros(n, np.int64) if graph is None else graph
+    total = np.bincount(of[a], w)[of[a]] if len(a) else w
     degree = np.bincount(a, w, n) + np.bincount(b, w, n)
     while len(a):
         gain = w / total - resolution * degree[a] * degree[b] / (2 * total * total)
@@ -110,7 +114,9 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
         apart = a != b
         pair = np.minimum(a, b)[apart] * n + np.maximum(a, b)[apart]
         both, back = np.unique(pair, return_inverse=True)
-        w = np.bincount(back, w[apart], len(both))
+        w, of_pair = np.bincount(back, w[apart], len(both)), np.zeros(len(both))
+        of_pair[back] = total[apart]
+        total = of_pair
         a, b = both // n, both % n
     return label
 
@@ -150,7 +156,7 @@ def _cluster(keys: list[str], schema: pa.Schema, radius: int, members: int, reso
             graph, _ = neighbour_descent(code, at)
             a, b, inside = linked_edges(code, at, count, graph, radius, members)
             similarity = radius + 1.0 - (at[b] - at[a])
-            label = modularity_communities(len(at), a, b, similarity * count[a] * count[b], resolution)
+            label = modularity_communities(len(at), a, b, similarity * count[a] * count[b], resolution, code)
             chosen = np.flatnonzero(inside)
             if not len(chosen):
                 continue

@@ -41,6 +41,9 @@ def test_modularity_splits_and_joins():
     one, none = modularity_communities(6, a, b, w, 1.0), modularity_communities(6, a, b, w, 0.0)
     assert len(set(none)) == 1
     assert len(set(one[:3])) == 1 and len(set(one[3:])) == 1 and one[0] != one[5]
+    # Graphs side by side do not change each other.
+    both = modularity_communities(12, np.append(a, a + 6), np.append(b, b + 6), np.append(w, w * 50), 1.0, np.repeat([0, 1], 6))
+    assert len(set(both)) == 4
 
 
 def test_isolated_nodes_have_no_links():
