@@ -73,6 +73,11 @@ def labels(points: DataFrame, clusters: DataFrame, by: list[str], field: str = "
     return every.select(*by, F.col("_at").alias(field), F.coalesce("label", F.lit(-1)).alias("label"))
 
 
+def label_histogram(labelled: DataFrame, field: str = "tip") -> DataFrame:
+    """Number of points per label and position."""
+    return labelled.groupBy("label", field).agg(F.count(F.lit(1)).alias("n"))
+
+
 def core_distances(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10) -> DataFrame:
     """Each point with ``core_dist``: the least length of a stretch of ``min_points`` that holds it; keys with fewer points are left out.
 

@@ -17,7 +17,7 @@ from axisframe.plans import views as V
 from axisframe.plans.fingerprint import distinct_sources, fingerprint
 from axisframe.schema import HEADER
 from axisframe.session import cut, table
-from axisframe.sources import gff, sinks
+from axisframe.sources import gff, sam, sinks
 
 BY, BY3 = list(HEADER), list(HEADER[:3])
 M, E, B, D = V.MIN_POINTS, V.EPSILON, V.BUFFER, V.DISTANCE
@@ -484,6 +484,37 @@ def region_scan(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("read_id", "reference", "strand", F.coalesce("category", F.lit(".")).alias("category"), "source", "tip").distinct()
 
 
+_COLS = "{0}"
+for _plain, _code in X.COLUMN_ESCAPES:
+    _COLS = f"replace({_COLS}, '{_code}', chr({ord(_plain)}))"
+
+
+@query(f"""with c as (select line_id as ord, string_split(line, chr(9)) as c from gff_lines where line not like '#%' and trim(line) <> ''),
+  t as (select *, {_COLS.format('c[3]')} as element from c where regexp_full_match(c[4], '[0-9]+') and regexp_full_match(c[5], '[0-9]+') and len(c[4]) < 18 and len(c[5]) < 18)
+  select {_COLS.format('c[1]')} as reference, case when starts_with(element, 'repeat_r') then 'repeat_r' when starts_with(element, 'repeat') then 'repeat' when starts_with(element, 'mobile') then 'mobile' end as category,
+         '.' as source, c[4]::bigint as start, c[5]::bigint as stop, element, ord from t where starts_with(element, 'repeat') or starts_with(element, 'mobile')""")
+def annotation_scan(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "gff_lines").select(F.col("line").alias("value"), F.col("line_id").alias("ord"))
+    digits = lambda i: F.coalesce(F.get(F.split("value", "\t"), F.lit(i)).rlike("^[0-9]{1,17}$"), F.lit(False))
+    return gff.annotation_intervals(lines.where(digits(3) & digits(4)), ["mobile", "repeat", "repeat_r"])
+
+
+@query(f"""with {V.SAM} select qname, flag::integer as flag, rname, pos, mapq::integer as mapq, cigar, rnext, pnext, 0::bigint as tlen, seq, qual, source from sam""")
+def sam_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written as text and parsed again."""
+    rows = V.sam(spark, sf)
+    text = rows.select(sam.line_of().alias("value"), "source")
+    return sam.parse_records(text).drop("tags")
+
+
+@query(f"""with {V.TIPS}, {_flat('tips', _H)}, spots as (select distinct {_H}, tip from tips),
+  labelled as (select t.tip, coalesce(f.k - 1, -1)::bigint as label
+    from spots t left join flat f on t.reference = f.reference and t.strand = f.strand and t.category = f.category and t.source = f.source and t.tip between f.start and f.stop)
+  select label, tip, count(*) as n from labelled group by label, tip""")
+def label_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return density.label_histogram(dbican_labels(spark, sf))
+
+
 # --- text -------------------------------------------------------------------------------------------------------
 
 _ENC = "{0}"

@@ -83,6 +83,10 @@ def read_tips(sam: DataFrame, categories: list[str] | DataFrame, quality: int =
     return rows.select("reference", "strand", "category", "source", P.tip().alias("tip"), "element")
 
 
+def line_of() -> Column:
+    """SAM text of a record."""
+    return F.concat_ws("\t", *(F.col(c).cast("string") for c in SAM_COLUMNS), F.when(F.size("tags") > 0, F.array_join("tags", "\t")))
+
+
 def to_lines(records: DataFrame) -> DataFrame:
-    """SAM text of records."""
-    return records.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in SAM_COLUMNS), F.array_join("tags", "\t")).alias("value"))
+    return records.select(line_of().alias("value"))

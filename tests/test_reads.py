@@ -128,6 +128,22 @@ def test_filters(spark):
     assert gff.format_features(df.where("ord = 1")).first().value == "c2\tp\tx\t50\t90\t.\t-\t.\ta_0=1;a_1=9;pair=r"
 
 
+def test_compression_by_content(spark, tmp_path):
+    import bz2
+
+    from axisframe.sources.text import require_programs, sniffed_lines
+
+    text = "\n".join(LINES).encode()
+    for name, data in (("a.txt", gzip.compress(text)), ("b.txt", bz2.compress(text)), ("c.txt", text), ("d.gz", sinks.bgzf(text))):
+        (tmp_path / name).write_bytes(data)
+    got = sniffed_lines(spark, str(tmp_path)).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in got} == dict.fromkeys(("a.txt", "b.txt", "c.txt", "d.gz"), len(LINES))
+    assert sam.parse_records(sniffed_lines(spark, str(tmp_path / "a.txt"))).count() == 9
+    assert require_programs("sh")
+    with pytest.raises(OSError, match="no-such-program"):
+        require_programs("sh", "no-such-program")
+
+
 def test_annotation_and_lines(spark):
     lines = ["chr1\tR\tGypsy-1;chr1:1-2\t3\t9\t1\t-\t.\tTarget \"M\" 1 2", "chr%09x\tR\tCopia\t1\t2\t.\t+\t.\t.", "chr1\tR\tLINE\t1\t2\t.\t+\t.\t."]
     df = spark.createDataFrame([(v, i) for i, v in enumerate(lines)], "value string, ord long")
