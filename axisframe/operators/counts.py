@@ -45,7 +45,7 @@ def count_reads(tips: DataFrame, clusters: DataFrame, by: list[str], n_elements:
     counted per (position, source) before they meet the clusters, so copies of a position travel once.
     """
     sources = tips.select(F.col("source").alias("name")).where("name is not null").distinct()
-    # One row per source of the whole input: a few, and its size is the number of files.
+    # A scalar: the list of sources is as long as the list of input files.
     names = sources.agg(F.sort_array(F.collect_list("name")).alias("_names"))
     parts = ["source", "tip"] + (["element"] if n_elements else [])
     weights = tips.groupBy(*by, *parts).agg(F.count(F.lit(1)).alias("_w"))
@@ -68,7 +68,7 @@ def count_reads(tips: DataFrame, clusters: DataFrame, by: list[str], n_elements:
         entry = lambda s: F.struct(s.alias("name"), count(s).alias("count"), F.coalesce(F.try_element_at("_tops", s), none).alias("element"))
     else:
         entry = lambda s: F.struct(s.alias("name"), count(s).alias("count"))
-    rows = rows.join(F.broadcast(names)).withColumn("samples", F.transform("_names", entry))
+    rows = rows.withColumn("_names", names.scalar()).withColumn("samples", F.transform("_names", entry))
     start, stop = ("_first", "_last") if trim else ("start", "stop")
     return rows.select(*by, F.col(start).alias("start"), F.col(stop).alias("stop"), "median", "samples")
 

@@ -68,7 +68,8 @@ class _States:
         columns = [batch.column(k).dictionary_encode() for k in self.keys]
         mixed = np.zeros(batch.num_rows, np.int64)
         for c in columns:
-            mixed = mixed * (len(c.dictionary) + 1) + np.nan_to_num(np.asarray(c.indices.fill_null(len(c.dictionary)))).astype(np.int64)
+            index = np.asarray(c.indices.fill_null(len(c.dictionary))).astype(np.int64)
+            mixed = np.unique(mixed * (len(c.dictionary) + 1) + index, return_inverse=True)[1]
         found, first, back = np.unique(mixed, return_index=True, return_inverse=True)
         values = [batch.column(k).take(pa.array(first)).to_pylist() for k in self.keys]
         own = np.array([self.codes.setdefault(v, len(self.codes)) for v in zip(*values)], np.int64)

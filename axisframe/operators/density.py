@@ -106,7 +106,7 @@ def fork_epsilons(points: DataFrame, by: list[str], field: str = "tip", min_poin
     g = p.where("_g is not null").withColumn("_pg", F.lag("_g").over(by_i)).where("_pg is null or _g <> _pg").drop("_pg")
     g = g.withColumns({"_before": F.lag("_g").over(by_i), "_after": F.lead("_g").over(by_i)})
     peaks = g.where("_g > _before and _g > _after").groupBy(*by).agg(F.max("_g").alias("fork_epsilon"))
-    return keys.join(peaks, by, "left") if by else keys.crossJoin(peaks)
+    return keys.join(peaks, by, "left")
 
 
 def _least(r: np.ndarray, width: int, n: int) -> np.ndarray:
