@@ -53,13 +53,18 @@ class PrefixBPE:
 
     def merge(self, piece: bytes) -> list[int]:
         """BPE as defined: join the adjacent pair of lowest rank, leftmost first, until none is left."""
+        ranks, never = self.ranks, len(self.ranks) + 1
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], len(self.ranks) + 1), i) for i in range(len(parts) - 1))
-            if rank > len(self.ranks):
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        joins = [ranks.get(a + b, never) for a, b in zip(parts, parts[1:])]
+        while joins and (rank := min(joins)) < never:
+            i = joins.index(rank)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joins[i]
+            if i:
+                joins[i - 1] = ranks.get(parts[i - 1] + parts[i], never)
+            if i < len(joins):
+                joins[i] = ranks.get(parts[i] + parts[i + 1], never)
+        return [ranks[p] for p in parts]
 
     def follows(self, a: int, b: int) -> bool:
         """Whether b may stand right after a."""
@@ -83,11 +88,24 @@ class PrefixBPE:
     def merge_is(self, t: int) -> bool:
         return self.merge(self.token[t]) == [t]
 
-    def prefixes(self, piece: bytes) -> list[int]:
-        """Last token of each prefix; entry 0 is unused."""
-        last = [-1]
-        for i in range(1, len(piece) + 1):
-            last.append(self.last_token(piece, i, last))
+    def prefixes(self, piece: bytes, last: list[int] | None = None) -> list[int]:
+        """Last token of each prefix, continued from ``last``; entry 0 is unused."""
+        last = [-1] if last is None else last
+        rank, pairs, longest = self.ranks.get, self.pairs, self.longest
+        for i in range(len(last), len(piece) + 1):
+            # As last_token, without a call per prefix: the longest token first, and there is one that fits.
+            for j in range(i - longest if i > longest else 0, i):
+                t = rank(piece[j:i])
+                if t is None:
+                    continue
+                if not j:
+                    if self.merge_is(t):
+                        break
+                elif (fits := pairs.get((last[j], t))) or (fits is None and self.follows(last[j], t)):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(t)
         return last
 
     def chain(self, last: list[int]) -> tuple[int, ...]:
@@ -116,8 +134,7 @@ class EditablePiece:
 
     def append(self, more: bytes) -> None:
         self.raw += more
-        for i in range(len(self.last), len(self.raw) + 1):
-            self.last.append(self.vocabulary.last_token(self.raw, i, self.last))
+        self.vocabulary.prefixes(self.raw, self.last)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` for bytes start..stop; returns how many prefixes had to be encoded again."""
