@@ -166,8 +166,8 @@ def disjoint_blocks(df: DataFrame, keys: list[str], start: str | Column, stop: s
     return states.repartition(shuffle_partitions(df.sparkSession), *groups).sortWithinPartitions(*groups).mapInArrow(_combine(groups, arrow), T.StructType(fields + lists))
 
 
-def stitch(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """Periods and gaps from the rows of :func:`disjoint_blocks`: keys, ``kind``, ``first_pos``, ``last_pos``."""
+def periods(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Periods from the rows of :func:`disjoint_blocks`: keys, ``s``, ``e``, and the neighbours' ``p`` (stop before) and ``n`` (start after)."""
     axis = Window.partitionBy(*keys).orderBy("_block")
     before, after = axis.rowsBetween(Window.unboundedPreceding, -1), axis.rowsBetween(1, Window.unboundedFollowing)
     rows = blocks.withColumn("_carry", F.max(F.element_at("stops", -1)).over(before))
@@ -185,15 +185,22 @@ def stitch(blocks: DataFrame, keys: list[str]) -> DataFrame:
     })
     rows = rows.withColumn("_reach", F.max("_ext").over(Window.partitionBy(*keys, "_chain")))
     rows = rows.withColumn("_reach", F.lead("_reach").over(axis)).where("_has")
+    rows = rows.withColumn("_last", F.greatest(F.element_at("_stops", -1), F.col("_reach")))
     rows = rows.withColumns({
-        "_last": F.greatest(F.element_at("_stops", -1), F.col("_reach")),
+        "_prevs": F.concat(F.array(F.lag("_last").over(axis)), F.expr("slice(_stops, 1, size(_stops) - 1)")),
         "_nexts": F.expr("concat(slice(_starts, 2, size(_starts)), array(_next))"),
+        "_stops": F.expr("concat(slice(_stops, 1, size(_stops) - 1), array(_last))"),
     })
-    rows = rows.withColumn("_stops", F.expr("concat(slice(_stops, 1, size(_stops) - 1), array(_last))"))
-    each = rows.select(*keys, F.explode(F.arrays_zip(F.col("_starts").alias("s"), F.col("_stops").alias("e"), F.col("_nexts").alias("n"))).alias("x"))
+    zipped = F.arrays_zip(F.col("_starts").alias("s"), F.col("_stops").alias("e"), F.col("_prevs").alias("p"), F.col("_nexts").alias("n"))
+    return rows.select(*keys, F.explode(zipped).alias("x")).select(*keys, "x.*")
+
+
+def stitch(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Periods and gaps from the rows of :func:`disjoint_blocks`: keys, ``kind``, ``first_pos``, ``last_pos``."""
+    each = periods(blocks, keys)
     kinds = F.array(
-        F.struct(F.lit("period").alias("kind"), F.col("x.s").alias("first_pos"), F.col("x.e").alias("last_pos")),
-        F.struct(F.lit("gap").alias("kind"), (F.col("x.e") + 1).alias("first_pos"), (F.col("x.n") - 1).alias("last_pos")),
+        F.struct(F.lit("period").alias("kind"), F.col("s").alias("first_pos"), F.col("e").alias("last_pos")),
+        F.struct(F.lit("gap").alias("kind"), (F.col("e") + 1).alias("first_pos"), (F.col("n") - 1).alias("last_pos")),
     )
     return each.select(*keys, F.explode(kinds).alias("y")).select(*keys, "y.*").where("first_pos <= last_pos")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisframe.operators.coverage import BLOCK, stitch
+from axisframe.operators.coverage import BLOCK, periods
 
 
 def block_of(at, block: int):
@@ -23,6 +23,11 @@ def union(df: DataFrame, by: list[str], block: int = BLOCK, placed: str | None =
     Only the largest stop of each start matters, so copies are gone before anything is sorted. ``placed`` names a
     column that holds the block of each start already, by which ``df`` is distributed: nothing is shuffled again then.
     """
+    return neighbours(df, by, block, placed).select(*by, "start", "stop")
+
+
+def neighbours(df: DataFrame, by: list[str], block: int = BLOCK, placed: str | None = None) -> DataFrame:
+    """The union with ``_prev`` (stop of the interval before) and ``_next`` (start of the one after), null at the ends."""
     marked = {k: f"_u{i}" for i, k in enumerate(by)}
     rows = df.select(*(F.col(k).alias(v) for k, v in marked.items()), F.col("start").cast("long").alias("s"), F.col("stop").cast("long").alias("e"), F.col(placed).alias("_block") if placed else block_of(F.col("start"), block).alias("_block")).where("s <= e")
     keys = [*marked.values(), "_block"]
@@ -33,46 +38,24 @@ def union(df: DataFrame, by: list[str], block: int = BLOCK, placed: str | None =
     parts = rows.groupBy(*keys, "_k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     lists = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("x"))
     blocks = lists.select(*keys, F.col("x.s").alias("starts"), F.col("x.e").alias("stops"))
-    found = stitch(blocks, list(marked.values())).where("kind = 'period'")
-    return found.select(*(F.col(v).alias(k) for k, v in marked.items()), F.col("first_pos").alias("start"), F.col("last_pos").alias("stop"))
+    found = periods(blocks, list(marked.values()))
+    return found.select(*(F.col(v).alias(k) for k, v in marked.items()), F.col("s").alias("start"), F.col("e").alias("stop"), F.col("p").alias("_prev"), F.col("n").alias("_next"))
 
 
 def union_buffered(df: DataFrame, by: list[str], buffer: int = 0, block: int = BLOCK) -> DataFrame:
     """Union, then each interval is widened by ``buffer``, sharing the gap to a neighbour where it is too small.
 
-    The neighbours come from :func:`union`'s own order; the odd position of a shared gap goes to the left interval.
+    The odd position of a shared gap goes to the left interval.
     """
-    merged = union(df, by, block)
     if buffer <= 0:
-        return merged
-    rows = neighbours(merged, by, block)
+        return union(df, by, block)
+    rows = neighbours(df, by, block)
     share = lambda gap: F.least(gap / F.lit(2.0), F.lit(float(buffer)))
     before = F.coalesce(F.floor(share(F.col("start") - F.col("_prev") - 1)), F.lit(buffer)).cast("long")
     after = F.coalesce(F.ceil(share(F.col("_next") - F.col("stop") - 1)), F.lit(buffer)).cast("long")
     return rows.select(*by, (F.col("start") - before).alias("start"), (F.col("stop") + after).alias("stop"))
 
 
-def neighbours(disjoint: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
-    """Disjoint intervals with ``_prev`` (stop before) and ``_next`` (start after), nearest across blocks."""
-    rows = disjoint.withColumn("_block", block_of(F.col("start"), block))
-    inside = Window.partitionBy(*by, "_block").orderBy("start")
-    rows = rows.withColumns({"_prev": F.lag("stop").over(inside), "_next": F.lead("start").over(inside)})
-    ends = rows.groupBy(*by, "_block").agg(F.min("start").alias("_f"), F.max("stop").alias("_l"))
-    axis = Window.partitionBy(*by).orderBy("_block")
-    ends = ends.select(*by, "_block", F.lag("_l").over(axis).alias("_pl"), F.lead("_f").over(axis).alias("_nf"))
-    joined = rows.alias("r").join(ends.alias("e"), _same("r", "e", [*by, "_block"]))
-    return joined.select("r.*", "_pl", "_nf").withColumns({"_prev": F.coalesce("_prev", "_pl"), "_next": F.coalesce("_next", "_nf")}).drop("_pl", "_nf", "_block")
-
-
-def _same(left: str, right: str, columns: list[str]):
-    """Equality that also joins null keys."""
-    on = None
-    for c in columns:
-        each = F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-        on = each if on is None else on & each
-    return on
-
-
 def sweep(points: DataFrame, disjoint: DataFrame, by: list[str], at: str, block: int = BLOCK) -> DataFrame:
     """``points`` inside one of the disjoint intervals, with ``start`` and ``stop`` of it.
 
