@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Escapes of a GFF3 column, and those of an attribute besides; the percent sign comes first.
-COLUMN_ESCAPES = [("%", "%25"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")]
+COLUMN_ESCAPES = [("%", "%25"), ("\t", "%09"), ("\r", "%0D")]
 ATTRIBUTE_ESCAPES = [*COLUMN_ESCAPES, (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C")]
 
+#: The strict form also escapes line feeds, so that no value breaks its line.
+LINE_ESCAPES = [("\n", "%0A")]
+
 #: Colour of a feature by the tenths of its largest sample's share, and that of a single sample.
 PROPORTION_COLOURS = {
     0: "#C6DBEF",
@@ -69,21 +72,25 @@ def _encode(value: str | Column, escapes: list[tuple[str, str]], back: bool) ->
     return value
 
 
-def encode_column(value: str | Column) -> Column:
-    return _encode(value, COLUMN_ESCAPES, False)
+def encode_column(value: str | Column, strict: bool = False) -> Column:
+    """Escapes of a column; line feeds stay as they are unless ``strict``."""
+    return _encode(value, COLUMN_ESCAPES + (LINE_ESCAPES if strict else []), False)
+
 
+def encode_attribute(value: str | Column, strict: bool = False) -> Column:
+    return _encode(value, ATTRIBUTE_ESCAPES + (LINE_ESCAPES if strict else []), False)
 
-def encode_attribute(value: str | Column) -> Column:
-    return _encode(value, ATTRIBUTE_ESCAPES, False)
 
+def decode_column(value: str | Column, strict: bool = False) -> Column:
+    """Escapes back in the order of the table, percent sign first (``%2509`` becomes a tab).
 
-def decode_column(value: str | Column) -> Column:
-    """Escapes back in the order of the table, percent sign first: ``%2509`` becomes a tab."""
-    return _encode(value, COLUMN_ESCAPES, True)
+    ``strict`` undoes the strict encoding exactly: the percent sign last, so that every text comes back as it was.
+    """
+    return _encode(value, [*COLUMN_ESCAPES[1:], *LINE_ESCAPES, COLUMN_ESCAPES[0]] if strict else COLUMN_ESCAPES, True)
 
 
-def decode_attribute(value: str | Column) -> Column:
-    return _encode(value, ATTRIBUTE_ESCAPES, True)
+def decode_attribute(value: str | Column, strict: bool = False) -> Column:
+    return _encode(value, [*ATTRIBUTE_ESCAPES[1:], *LINE_ESCAPES, ATTRIBUTE_ESCAPES[0]] if strict else ATTRIBUTE_ESCAPES, True)
 
 
 def quoted(value: str | Column) -> Column:

@@ -1,7 +1,7 @@
 import random
 from statistics import median
 
-from axisframe.operators.skew import count_and_median, pack, plan_shards, spread
+from axisframe.operators.skew import _ranked, count_and_median, pack, plan_shards, spread
 
 
 def plain(rows):
@@ -48,6 +48,40 @@ def test_against_definition(spark):
 def test_no_task_is_overloaded(spark):
     rows = [(i, "hot" if i % 3 else f"k{i % 50}", i * 7919 % 5000) for i in range(12_000)]
     df = spark.createDataFrame(rows, "id long, key string, v long")
-    placed, large = spread(df, ["key"], "v", "id", tasks=8)
+    placed, plan = spread(df, ["key"], "v", "id", tasks=8)
     sizes = [r["count"] for r in placed.groupBy("_bin").count().collect()]
-    assert large == 1 and max(sizes) <= 1.5 * 12_000 / 8
+    assert {s.key for s in plan if s.upto is not None} == {("hot",)} and max(sizes) <= 1.5 * 12_000 / 8
+
+
+def test_little_reaches_the_driver(spark, monkeypatch):
+    """200 tasks, one key with a third of all rows and a thousand others: loads and quantiles stay within their bound."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    rows = spark.range(60_000).selectExpr("id", "case when id % 3 = 0 then 'hot' else concat('k', id % 1000) end as key", "id * 7919 % 50000 as v")
+    seen = []
+    plain_collect = Classic.collect
+
+    def collect(self):
+        out = plain_collect(self)
+        seen.append(len(out) + sum(len(r["_q"]) for r in out if "_q" in r))
+        return out
+
+    monkeypatch.setattr(Classic, "collect", collect)
+    spread(rows, ["key"], "v", "id", tasks=200)
+    assert sum(seen) <= (8 + 2) * 200
+
+
+def test_rows_travel_once(spark):
+    """After the placement the counts stay in their tasks: no exchange lies between them and the join."""
+    df = spark.range(5000).selectExpr("id", "id % 7 as key", "id % 100 as v")
+    placed, _ = spread(df.selectExpr("key as _k0", "v as _v", "id as _id"), ["_k0"], "_v", "_id", tasks=4)
+    counted = placed.groupBy("_bin", "_k0", "_shard", "_v", "_id").count().groupBy("_bin", "_k0", "_shard", "_v").agg({"*": "count"}).withColumnRenamed("count(1)", "_c").persist()
+    counted.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = _ranked(counted, ["_k0"], 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        counted.unpersist()
+    left = plan[plan.index("Join [_bin") :].split("InMemoryTableScan")[0]
+    assert "Exchange" not in left
