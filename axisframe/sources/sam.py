@@ -22,17 +22,6 @@ def references(lines: DataFrame) -> DataFrame:
     return rows.select("source", F.regexp_extract("value", "\tSN:([^\t]+)", 1).alias("reference"))
 
 
-def common_references(spark: SparkSession, *paths: str) -> list[str]:
-    """Reference names in file order; every file must list the same ones. Headers are small by definition."""
-    per: dict[str, list[str]] = {}
-    for path in paths:
-        rows = sam_lines(spark, path).where(F.col("value").startswith("@SQ\t")).withColumn("_n", F.monotonically_increasing_id())
-        per[path] = [r.reference for r in rows.select("_n", F.regexp_extract("value", "\tSN:([^\t]+)", 1).alias("reference")).orderBy("_n").collect()]
-    if len({tuple(v) for v in per.values()}) > 1:
-        raise ValueError("files differ in their references")
-    return next(iter(per.values()), [])
-
-
 def parse_records(lines: DataFrame) -> DataFrame:
     """Records with typed columns, ``tags`` and ``source``."""
     cells = lines.where(~F.col("value").startswith("@") & (F.col("value") != "")).select(F.split("value", "\t").alias("c"), "source")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import bz2
+import contextlib
+import io
+import itertools
 import struct
 import zlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,24 +70,49 @@ def write_text(lines: DataFrame, path: str, compression: str | None = None, sing
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
+class BlockGzip:
+    """A stream that packs what is written into gzip members of at most ``size`` bytes that tell their length, so the file can be indexed."""
+
+    def __init__(self, out, size: int = 65280):
+        self.out, self.size, self.held = out, size, bytearray()
+
+    def __enter__(self) -> BlockGzip:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self._flush(1)
+            self.out.write(BGZF_END)
+
+    def _flush(self, least: int) -> None:
+        while len(self.held) >= least:
+            part = bytes(self.held[: self.size])
+            del self.held[: self.size]
+            packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+            body = packer.compress(part) + packer.flush()
+            head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+            self.out.write(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
+
+    def write(self, data: bytes) -> None:
+        self.held += data
+        self._flush(self.size)
+
+
 def bgzf(data: bytes, size: int = 65280) -> bytes:
-    """``data`` as block-gzip: gzip members of at most ``size`` bytes that tell their length, so the file can be indexed."""
-    out = []
-    for i in range(0, len(data), size):
-        part = data[i : i + size]
-        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = packer.compress(part) + packer.flush()
-        head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
-        out.append(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out) + BGZF_END
-
-
-def write_file(lines, header: str | None, path: str) -> None:
-    """One local file (``.gz``: block-gzip, ``.bz2``) from an iterator of lines; for the command line."""
-    import bz2
-
-    text = "".join(f"{x}\n" for x in ([header] if header is not None else [])) + "".join(f"{x}\n" for x in lines)
-    data = text.encode()
-    data = bgzf(data) if path.endswith(".gz") else bz2.compress(data) if path.endswith(".bz2") else data
-    with open(path, "wb") as f:
-        f.write(data)
+    """``data`` as block-gzip."""
+    out = io.BytesIO()
+    with BlockGzip(out, size) as packed:
+        packed.write(data)
+    return out.getvalue()
+
+
+def write_file(lines: Iterable[str], header: str | None, path: str) -> None:
+    """One file (``.gz``: block-gzip, ``.bz2``) from an iterator of lines, packed as they come; for the command line."""
+    with open(path, "wb") as raw, contextlib.ExitStack() as stack:
+        out = raw
+        if path.endswith(".gz"):
+            out = stack.enter_context(BlockGzip(raw))
+        elif path.endswith(".bz2"):
+            out = stack.enter_context(bz2.BZ2File(raw, "wb"))
+        for line in itertools.chain([header] if header is not None else [], lines):
+            out.write(line.encode() + b"\n")

@@ -8,7 +8,7 @@ from axisframe.functions import text as X
 from axisframe.functions.filters import keep_features, parse_filter
 from axisframe.operators import extract
 from axisframe.operators.categorise import categorise
-from axisframe.sources import bam, gff, sam, sinks
+from axisframe.sources import alignments, bam, gff, sam, sinks
 
 SEQ = "ACGTTGCAAC"
 
@@ -34,13 +34,13 @@ def reads(spark, tmp_path):
 def test_sam(spark, reads, tmp_path):
     df = sam.read_sam(spark, reads)
     assert df.count() == 9 and df.first().source == "x.sam"
-    assert sam.common_references(spark, reads) == ["g1", "g2"]
+    assert alignments.common_references(spark, reads) == [("g1", 100), ("g2", 90)]
     assert [r.reference for r in sam.references(sam.sam_lines(spark, reads)).collect()] == ["g1", "g2"]
     packed = tmp_path / "y.sam.gz"
     packed.write_bytes(gzip.compress("\n".join([HEADER[0], HEADER[2]] + LINES[3:]).encode()))
     assert sam.read_sam(spark, str(packed)).count() == 9
     with pytest.raises(ValueError):
-        sam.common_references(spark, reads, str(packed))
+        alignments.common_references(spark, reads, str(packed))
     assert sorted(r.value for r in sam.to_lines(df).collect()) == sorted(LINES[3:])
     tips = {(r.source, r.strand, r.tip, r.element) for r in sam.read_tips(df, ["Gyp", "Gypsy"], 30).collect()}
     assert tips == {("x.sam", "+", 16, "Gypsy1"), ("x.sam", "-", 11, "Gypsy1"), ("x.sam", "+", 18, "Gypsy1")}
@@ -81,12 +81,62 @@ def test_anchors(spark):
 def test_bam(spark, reads, tmp_path):
     rows = [tuple(r) for r in sam.read_sam(spark, reads).collect()] * 800
     path = str(tmp_path / "t.bam")
-    bam.write_bam(path, "\n".join(HEADER) + "\n", [("g1", 100), ("g2", 90)], iter(rows))
+    bam.write_file(path, "\n".join(HEADER) + "\n", [("g1", 100), ("g2", 90)], iter(rows))
     bam.register(spark)
     for split in (1 << 25, 3000):
         got = spark.read.format("bam").option("splitbytes", split).load(path)
         assert sorted(str(tuple(r)[:12]) for r in got.collect()) == sorted(str(r[:12]) for r in rows)
     assert gzip.decompress(sinks.bgzf(b"x" * 200_000)) == b"x" * 200_000
+    # References: of one file, of SAM and BAM together, and files that differ.
+    assert [tuple(r)[1:] for r in alignments.references(spark, path).orderBy("ord").collect()] == [(0, "g1", 100), (1, "g2", 90)]
+    assert alignments.common_references(spark, path, reads) == [("g1", 100), ("g2", 90)]
+    other = str(tmp_path / "o.bam")
+    bam.write_file(other, "", [("g2", 90), ("g1", 100)], iter([]))
+    with pytest.raises(ValueError):
+        alignments.common_references(spark, path, other)
+    assert spark.read.format("bam").load(other).count() == 0
+    # A folder written in parallel reads back whole, whatever the splits.
+    folder = str(tmp_path / "parts.bam")
+    df = sam.read_sam(spark, reads).crossJoin(spark.range(50)).drop("id").repartition(3)
+    assert bam.write_bam(df, folder, [("g1", 100), ("g2", 90)]) == 450
+    assert alignments.load(spark, folder).drop("source").exceptAll(df.drop("source")).isEmpty()
+
+
+def _reads_of(draw, lengths):
+    for i, n in enumerate(lengths):
+        seq = "".join(draw.choices("ACGTN", k=n))
+        cigar = f"{n}M" if n < 30 else f"3S{n - 5}M2I"
+        rname = draw.choice(["g1", "g2"])
+        yield (f"read{i}", draw.choice([0, 16, 4, 99]), rname, 1 + i, i % 60, cigar, draw.choice(["=", "g2" if rname == "g1" else "g1", "*"]), 7, -i, seq, "".join(chr(33 + draw.randrange(60)) for _ in range(n)), ["ME:Z:Gypsy", f"NM:i:{i}", "XB:B:s,1,-2,3"], "x")
+
+
+@pytest.mark.parametrize("lengths", [[50] * 4000, [20_000] * 40, [60_000] * 30, [100_000] * 30, [300_000] * 8, [50, 100_000, 70, 30_000, 300_000, 51] * 6, [1, 2, 3] * 900, []], ids=lambda x: f"{len(x)}x{x[0] if x else 0}")
+def test_splits_lose_no_record(tmp_path, lengths):
+    """Whatever the sizes of records and splits, the partitions together give each record once, in order."""
+    import os
+    import random
+
+    draw = random.Random(len(lengths))
+    rows = list(_reads_of(draw, lengths))
+    path = str(tmp_path / "x.bam")
+    bam.write_file(path, bam.sq_lines([("g1", 10**6), ("g2", 90)]), [("g1", 10**6), ("g2", 90)], iter(rows))
+    size = os.path.getsize(path)
+    for split in (size + 1, 333_333, 150_000, 70_000, 65_000, 9_973):
+        got = [tuple(r.values()) for at in range(0, size, split) for b in bam.record_batches(path, at, min(at + split, size)) for r in b.to_pylist()]
+        assert [r[:12] for r in got] == [r[:12] for r in rows]
+
+
+def test_damaged_bam(tmp_path):
+    import os
+    import random
+
+    path = str(tmp_path / "x.bam")
+    bam.write_file(path, "", [("g1", 100), ("g2", 90)], _reads_of(random.Random(1), [30_000] * 20))
+    whole = open(path, "rb").read()
+    for cut in (len(whole) // 2, len(whole) - 100):
+        open(path, "wb").write(whole[:cut])
+        with pytest.raises(ValueError):
+            list(bam.record_batches(path, 0, os.path.getsize(path)))
 
 
 def test_text(spark):
