@@ -28,20 +28,33 @@ def group_codes(t: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows_at_once: int = BATCH_ROWS) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by ``keys``; no group spans two tables."""
+    """Tables of whole groups from batches sorted by ``keys``; no group spans two tables.
+
+    Every row is looked at once, however many batches a group spans: only a batch's own borders are judged, and
+    what is held is joined when it is handed out.
+    """
     held: list[pa.Table] = []
-    rows = 0
+    rows, last = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(pa.Table.from_batches([batch]))
-        rows += batch.num_rows
-        if rows >= rows_at_once:
-            t = pa.concat_tables(held).combine_chunks()
-            code = group_codes(t, keys)
-            edge = int(np.searchsorted(code, code[-1]))
-            if edge:
-                yield t.slice(0, edge).combine_chunks()
-            held, rows = [t.slice(edge)], t.num_rows - edge
+        t = pa.Table.from_batches([batch])
+        code = group_codes(t, keys)
+        # Rows before ``edge`` end a group; the rest belongs to a group that may go on.
+        edge = int(np.searchsorted(code, code[-1]))
+        ends = [[t.column(k)[i].as_py() for k in keys] for i in (0, t.num_rows - 1)]
+        if rows >= rows_at_once and ends[0] != last:
+            yield pa.concat_tables(held).combine_chunks()
+            held, rows = [], 0
+        if edge:
+            held.append(t.slice(0, edge))
+            rows += edge
+            if rows >= rows_at_once:
+                yield pa.concat_tables(held).combine_chunks()
+                held, rows = [], 0
+            t = t.slice(edge)
+        held.append(t)
+        rows += t.num_rows
+        last = ends[1]
     if rows:
         yield pa.concat_tables(held).combine_chunks()

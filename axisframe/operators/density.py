@@ -11,17 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisframe.operators.batches import group_codes, sorted_groups
 from axisframe.operators.coverage import BLOCK
-from axisframe.operators.intervals import block_of, sweep, union
+from axisframe.operators.intervals import block_of, join_keys, sweep, union
 from axisframe.session import cut, ship, shuffle_partitions
 
+#: Points of a block of ranks.
+RANKS = 1 << 16
 METHODS = ("DBICAN", "SDBICAN", "SDBICAN-aggressive")
 
 
@@ -32,14 +33,16 @@ def _check(min_points: int, *epsilons: int | None) -> None:
         raise ValueError("epsilon must not be negative")
 
 
-def _stretches(points: DataFrame, by: list[str], field: str, min_points: int, epsilon: int, block: int) -> DataFrame:
-    _check(min_points, epsilon)
-    p = points.select(*by, F.col(field).cast("long").alias("_at")).where("_at is not null")
-    places = F.array_distinct(F.array(block_of(F.col("_at"), block), block_of(F.col("_at") - F.lit(epsilon), block))) if epsilon < block else F.sequence(block_of(F.col("_at") - F.lit(epsilon), block), block_of(F.col("_at"), block))
-    p = p.select(*by, "_at", F.explode(places).alias("_block"))
+def _stretches(points: DataFrame, by: list[str], field: str, min_points: int, epsilon: int | Column, block: int) -> DataFrame:
+    _check(min_points, None if isinstance(epsilon, Column) else epsilon)
+    reach = epsilon if isinstance(epsilon, Column) else F.lit(epsilon)
+    p = points.select(*by, F.col(field).cast("long").alias("_at"), reach.cast("long").alias("_reach")).where("_at is not null and _reach is not null")
+    low, own = block_of(F.col("_at") - F.col("_reach"), block), block_of(F.col("_at"), block)
+    near = not isinstance(epsilon, Column) and epsilon < block
+    p = p.select(*by, "_at", "_reach", F.explode(F.array_distinct(F.array(own, low)) if near else F.sequence(low, own)).alias("_block"))
     w = Window.partitionBy(*by, "_block").orderBy("_at")
     p = p.withColumn("_hi", F.lead("_at", min_points - 1).over(w))
-    p = p.where((F.col("_hi") - F.col("_at") <= epsilon) & (block_of(F.col("_at"), block) == F.col("_block")))
+    p = p.where((F.col("_hi") - F.col("_at") <= F.col("_reach")) & (own == F.col("_block")))
     return p.select(*by, F.col("_at").alias("start"), F.col("_hi").alias("stop"), "_block")
 
 
@@ -48,8 +51,8 @@ def sub_clusters(points: DataFrame, by: list[str], field: str, min_points: int,
     return _stretches(points, by, field, min_points, epsilon, block).drop("_block")
 
 
-def dbican(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, epsilon: int = 250, block: int = BLOCK) -> DataFrame:
-    """Flat clusters: by, ``start``, ``stop``."""
+def dbican(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, epsilon: int | Column = 250, block: int = BLOCK) -> DataFrame:
+    """Flat clusters: by, ``start``, ``stop``. ``epsilon`` may be a column that is constant within a key; where it is null there are none."""
     return union(_stretches(points, by, field, min_points, epsilon, block), by, block, "_block")
 
 
@@ -78,35 +81,59 @@ def label_histogram(labelled: DataFrame, field: str = "tip") -> DataFrame:
     return labelled.groupBy("label", field).agg(F.count(F.lit(1)).alias("n"))
 
 
-def core_distances(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10) -> DataFrame:
+def _in_ranks(points: DataFrame, by: list[str], field: str, m: int, block: int, ranks: int) -> DataFrame:
+    """(by, ``_at``, ``_w``, ``_i``, ``_rb``): positions with at most ``m`` copies each, by their rank ``_i`` along the axis.
+
+    More than ``m`` copies of a position change no stretch of ``m`` points, so a hot position is no hot task. Ranks come
+    from counts per block of the axis; rows are then laid out in blocks of ranks, each with the ``m - 1`` ranks
+    beyond either end, so no task holds a whole key.
+    """
+    ranks = max(ranks, m)
+    w = points.where(F.col(field).isNotNull()).groupBy(*by, F.col(field).cast("long").alias("_at")).agg(F.count(F.lit(1)).alias("_w"))
+    copies = w.withColumn("_b", block_of(F.col("_at"), block)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("_w", F.lit(m)).cast("int"))))
+    per = copies.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    per = per.withColumn("_before", F.sum("_c").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_c")).drop("_c")
+    inner = Window.partitionBy(*by, "_b").orderBy("_at")
+    rows = join_keys(copies, per, [*by, "_b"])
+    rows = rows.withColumn("_i", F.col("_before") + F.row_number().over(inner) - 1)
+    at = lambda d: F.floor((F.col("_i") + F.lit(d)) / F.lit(ranks)).cast("long")
+    return rows.select(*by, "_at", "_w", "_i", F.explode(F.array_distinct(F.array(at(1 - m), at(0), at(m - 1)))).alias("_rb")).withColumn("_own", at(0) == F.col("_rb"))
+
+
+def core_distances(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, block: int = BLOCK, ranks: int = RANKS) -> DataFrame:
     """Each point with ``core_dist``: the least length of a stretch of ``min_points`` that holds it; keys with fewer points are left out.
 
-    Points a block apart never share a least stretch unless the axis is sparse, so this is a window over a key;
-    on very large keys take the core distances within clusters (they are the same).
+    All copies of a position have one core distance, so it is found per position and given to each copy.
     """
     _check(min_points)
-    w = Window.partitionBy(*by).orderBy(field)
-    p = points.where(F.col(field).isNotNull()).select(*by, field)
-    p = p.withColumn("_r", F.lead(field, min_points - 1).over(w) - F.col(field))
-    p = p.withColumn("core_dist", F.min("_r").over(w.rowsBetween(-(min_points - 1), 0)))
-    return p.where("core_dist is not null").drop("_r")
+    w = Window.partitionBy(*by, "_rb").orderBy("_i")
+    p = _in_ranks(points, by, field, min_points, block, ranks)
+    p = p.withColumn("_r", F.lead("_at", min_points - 1).over(w) - F.col("_at"))
+    p = p.withColumn("core_dist", F.min("_r").over(w.rowsBetween(-(min_points - 1), 0))).where("_own and core_dist is not null")
+    each = p.groupBy(*by, "_at").agg(F.min("core_dist").alias("core_dist"), F.first("_w").alias("_w"))
+    return each.select(*by, F.col("_at").alias(field), "core_dist", F.explode(F.sequence(F.lit(1), F.col("_w").cast("int"))).alias("_copy")).drop("_copy")
 
 
-def fork_epsilons(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10) -> DataFrame:
+def fork_epsilons(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, block: int = BLOCK, ranks: int = RANKS) -> DataFrame:
     """The largest epsilon below which the points of each key fork into several clusters: by, ``fork_epsilon`` (null: they never do)."""
     _check(min_points)
     m = min_points
-    w = Window.partitionBy(*by).orderBy(field)
-    p = points.where(F.col(field).isNotNull()).select(*by, field)
-    p = p.withColumns({"_i": F.row_number().over(w), "_r": F.lead(field, m - 1).over(w) - F.col(field), "_more": F.lead(field).over(w).isNotNull()})
-    # Per gap to the next point: the least stretch that spans it.
+    w = Window.partitionBy(*by, "_rb").orderBy("_i")
+    p = _in_ranks(points, by, field, m, block, ranks)
+    p = p.withColumns({"_r": F.lead("_at", m - 1).over(w) - F.col("_at"), "_more": F.lead("_at").over(w).isNotNull()})
+    # Per gap to the next point: the least stretch that spans it. Of equal gaps in a row one stays.
     p = p.withColumn("_g", F.when(F.col("_more"), F.min("_r").over(w.rowsBetween(-(m - 2), 0))))
-    by_i = Window.partitionBy(*by).orderBy("_i")
-    keys = p.select(*by).distinct()
-    g = p.where("_g is not null").withColumn("_pg", F.lag("_g").over(by_i)).where("_pg is null or _g <> _pg").drop("_pg")
-    g = g.withColumns({"_before": F.lag("_g").over(by_i), "_after": F.lead("_g").over(by_i)})
-    peaks = g.where("_g > _before and _g > _after").groupBy(*by).agg(F.max("_g").alias("fork_epsilon"))
-    return keys.join(peaks, by, "left")
+    g = p.withColumn("_pg", F.when(F.col("_i") > 0, F.lag("_g").over(w))).where("_own and _g is not null and (_pg is null or _g <> _pg)")
+    # Neighbours among those that stay: within a block of ranks, or from one row for each block.
+    g = g.withColumns({"_before": F.lag("_g").over(w), "_after": F.lead("_g").over(w)})
+    ends = g.groupBy(*by, "_rb").agg(F.min_by("_g", "_i").alias("_first"), F.max_by("_g", "_i").alias("_last"))
+    axis = Window.partitionBy(*by).orderBy("_rb")
+    ends = ends.select(*by, "_rb", F.lag("_last").over(axis).alias("_pl"), F.lead("_first").over(axis).alias("_nf"))
+    g = join_keys(g, ends, [*by, "_rb"])
+    g = g.withColumns({"_before": F.coalesce("_before", "_pl"), "_after": F.coalesce("_after", "_nf")})
+    peaks = g.where("_g > _before and _g > _after").select(*by, F.col("_g").alias("_f"))
+    keys = points.where(F.col(field).isNotNull()).select(*by, F.lit(None).cast("long").alias("_f"))
+    return keys.unionByName(peaks).groupBy(*by).agg(F.max("_f").alias("fork_epsilon"))
 
 
 def _least(r: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -139,10 +166,14 @@ def flat(t: np.ndarray, m: int, epsilon: int) -> list[tuple[int, int]]:
     return list(zip(at[first].tolist(), (at[np.append(first[1:], len(at)) - 1] + m).tolist()))
 
 
-def split(t: np.ndarray, m: int, epsilon: int, min_epsilon: int = 0, aggressive: bool = False) -> list[tuple[int, int]]:
-    """Slices of the clusters of sorted points after splitting: a cluster stays whole while it is supported at least as well as its children."""
+def split(t: np.ndarray, m: int, epsilon: int, min_epsilon: int = 0, aggressive: bool = False, weight: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Slices of the clusters of sorted points after splitting: a cluster stays whole while it is supported at least as well as its children.
+
+    ``weight`` is how many points each stands for in the supports.
+    """
     if len(t) < m:
         return []
+    weight = np.ones(len(t), np.int64) if weight is None else weight
     core = np.maximum(_least(t[m - 1 :] - t[: len(t) - m + 1], m, len(t)), min_epsilon or 0)
     open_ = [(a, b, epsilon) for a, b in reversed(flat(t, m, epsilon))]
     done = []
@@ -150,91 +181,91 @@ def split(t: np.ndarray, m: int, epsilon: int, min_epsilon: int = 0, aggressive:
         a, b, top = open_.pop()
         fork = fork_of(t[a:b], m)
         if fork is not None:
-            c = core[a:b]
-            own = ((top if aggressive else epsilon) - np.maximum(fork, c)).sum()
-            if own < np.maximum(0, fork - c).sum():
+            c, w = core[a:b], weight[a:b]
+            own = (w * ((top if aggressive else epsilon) - np.maximum(fork, c))).sum()
+            if own < (w * np.maximum(0, fork - c)).sum():
                 open_ += [(a + x, a + y, fork) for x, y in reversed(flat(t[a:b], m, fork - 1))]
                 continue
         done.append((a, b))
     return done
 
 
+def split_positions(at: np.ndarray, n: np.ndarray, m: int, epsilon: int, min_epsilon: int = 0, aggressive: bool = False) -> list[tuple[int, int]]:
+    """(start, stop) of the clusters of distinct sorted positions ``at``, ``n`` points each.
+
+    At most ``m`` copies of a position are laid out, which leaves every stretch of ``m`` points as it is; the
+    last of them stands for the rest, as all copies of a position have one core distance.
+    """
+    copies = np.minimum(n, m)
+    t = np.repeat(at, copies)
+    weight = np.ones(len(t), np.int64)
+    weight[np.cumsum(copies) - 1] += n - copies
+    return [(int(t[a]), int(t[b - 1])) for a, b in split(t, m, epsilon, min_epsilon, aggressive, weight)]
+
+
 def sdbican(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, epsilon: int | None = 250, min_epsilon: int = 0, aggressive: bool = False, block: int = BLOCK) -> DataFrame:
     """Splitting clusters: by, ``start``, ``stop``.
 
     ``epsilon=None`` takes, per key, one below the fork of all its points; keys that never fork have no
     clusters then. With the default method and ``min_epsilon`` <= ``epsilon`` only a cluster with more than
-    ``min_points`` points and a fork above epsilon / 2 can split; all others are settled without Python.
+    ``min_points`` points and a fork above epsilon / 2 can split; all others are settled without Python. One that may
+    split is one task's work, linear in its distinct positions, as the definition weighs all of its points together.
     """
     _check(min_points, epsilon, min_epsilon)
     ship(points.sparkSession)
     p = points.select(*by, F.col(field).cast("long").alias("_at")).where("_at is not null")
+    reach: Column = F.lit(epsilon)
     if epsilon is None:
-        return _automatic(p, by, min_points, min_epsilon, aggressive)
-    clusters = cut(dbican(p, by, "_at", min_points, epsilon, block))
-    weights = p.groupBy(*by, "_at").agg(F.count(F.lit(1)).alias("_w"))
+        # A row for each key that forks; Spark broadcasts it if it is small, and else splits large keys of the join.
+        forks = cut(fork_epsilons(p, by, "_at", min_points, block).where("fork_epsilon is not null"))
+        p = join_keys(p, forks.withColumn("_reach", F.col("fork_epsilon") - 1).drop("fork_epsilon"), by)
+        reach = F.col("_reach")
+    clusters = cut(dbican(p, by, "_at", min_points, reach if epsilon is None else epsilon, block))
+    weights = p.groupBy(*by, "_at").agg(F.count(F.lit(1)).alias("_w"), F.max(reach).cast("long").alias("_e"))
     inside = sweep(weights, clusters, by, "_at", block)
     cluster = [*by, "start", "stop"]
     # A cluster without a gap wider than its densest stretch cannot fork; cheap tests first, then Python.
     w = Window.partitionBy(*cluster).orderBy("_at")
     sized = inside.withColumn("_n", F.sum("_w").over(Window.partitionBy(*cluster)))
     may = F.col("_n") > min_points
-    if not aggressive and min_epsilon <= epsilon:
+    if epsilon is not None and not aggressive and min_epsilon <= epsilon:
         # A fork is at least as wide as some gap between stretches; below epsilon / 2 nothing splits.
-        reach = F.max("_at").over(w.rangeBetween(0, epsilon // 2))
+        far_of = F.max("_at").over(w.rangeBetween(0, epsilon // 2))
         whole = F.sum("_w").over(w.rangeBetween(0, epsilon // 2)) >= min_points
-        sized = sized.withColumns({"_reach": F.when(whole, reach)})
-        far = F.max("_reach").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        sized = sized.withColumns({"_far": F.when(whole, far_of)})
+        far = F.max("_far").over(w.rowsBetween(Window.unboundedPreceding, 0))
         sized = sized.withColumn("_open", F.when(F.lead("_at").over(w) > F.coalesce(far, F.col("_at")), 1).otherwise(0))
         sized = sized.withColumn("_gaps", F.sum("_open").over(Window.partitionBy(*cluster)))
         may = may & (F.col("_gaps") > 0)
     # Every point of a cluster lies in a stretch of at most epsilon, so one at or below epsilon / 2 throughout never forks above it.
     settled = sized.where(~may).select(*cluster).distinct()
 
-    nodes = sized.where(may).select(*cluster, "_at", "_w")
+    nodes = sized.where(may).select(*cluster, "_at", "_w", "_e")
     placed = nodes.repartition(shuffle_partitions(points.sparkSession), *cluster).sortWithinPartitions(*cluster, "_at")
     schema = T.StructType([*(p.schema[k] for k in by), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-    return settled.unionByName(placed.mapInArrow(_splitter(by, min_points, epsilon, min_epsilon, aggressive), schema))
+    return settled.unionByName(placed.mapInArrow(_splitter(by, min_points, min_epsilon, aggressive), schema))
 
 
-def _splitter(by: list[str], m: int, epsilon: int, min_epsilon: int, aggressive: bool):
-    """Clusters of sorted (by, start, stop, _at, _w) rows, split; one pass over all clusters of a task."""
+def _splitter(by: list[str], m: int, min_epsilon: int, aggressive: bool):
+    """Clusters of sorted (by, start, stop, _at, _w, _e) rows, split; one pass over all clusters of a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, [*by, "start", "stop"]):
             code = group_codes(t, [*by, "start", "stop"])
             first = np.append(np.flatnonzero(np.append(True, np.diff(code) > 0)), len(code))
-            at, weight = np.asarray(t.column("_at").combine_chunks()), np.asarray(t.column("_w").combine_chunks())
+            at, weight, reach = (np.asarray(t.column(c).combine_chunks()) for c in ("_at", "_w", "_e"))
             rows, starts, stops = [], [], []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                own = np.repeat(at[a:b], weight[a:b])
-                for x, y in split(own, m, epsilon, min_epsilon, aggressive):
+                for x, y in split_positions(at[a:b], weight[a:b], m, int(reach[a]), min_epsilon, aggressive):
                     rows.append(a)
-                    starts.append(own[x])
-                    stops.append(own[y - 1])
+                    starts.append(x)
+                    stops.append(y)
             columns = [t.column(k).combine_chunks().take(pa.array(rows, pa.int64())) for k in by]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], [*by, "start", "stop"])
 
     return run
 
 
-def _automatic(p: DataFrame, by: list[str], m: int, min_epsilon: int, aggressive: bool) -> DataFrame:
-    """Epsilon from each key's own fork; one group per key, as the definition needs all its points."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_at"].to_numpy())
-        fork = fork_of(t, m)
-        slices = split(t, m, fork - 1, min_epsilon, aggressive) if fork is not None else []
-        head = pdf[by].iloc[:1]
-        out = head.loc[head.index.repeat(len(slices))].reset_index(drop=True)
-        out["start"] = np.array([t[a] for a, _ in slices], np.int64)
-        out["stop"] = np.array([t[b - 1] for _, b in slices], np.int64)
-        return out
-
-    schema = T.StructType([*(p.schema[k] for k in by), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-    return p.groupBy(*by).applyInPandas(run, schema)
-
-
 def clusters(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, epsilon: int = 250, min_epsilon: int = 0, method: str = "SDBICAN") -> DataFrame:
     """Intervals of the clusters found by one of METHODS."""
     if method not in METHODS:

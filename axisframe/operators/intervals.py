@@ -6,6 +6,8 @@ block is carried over by a window on one row per block.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,13 @@ def block_of(at, block: int):
     return F.floor(at / F.lit(block)).cast("long")
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``left`` with the other columns of ``right`` where all keys are equal; null keys are equal to each other."""
+    names = {k: f"_j{i}" for i, k in enumerate(keys)}
+    right = right.select(*(F.col(k).alias(names[k]) if k in names else F.col(k) for k in right.columns))
+    return left.join(right, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])).drop(*names.values())
+
+
 def union(df: DataFrame, by: list[str], block: int = BLOCK, placed: str | None = None) -> DataFrame:
     """Intervals merged where they share positions: by, ``start``, ``stop``.
 

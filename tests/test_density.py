@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from axisframe.operators import density as D
 
+#: Two vectors of tips; the clusters expected of them and of the lists in the parameter tables below are fixed too.
 V18 = [1, 2, 21, 22, 22, 22, 24, 38, 54, 54, 55, 56, 65, 65, 66, 67, 68, 90]
 V12 = [0, 0, 3, 4, 4, 6, 26, 28, 28, 29, 32, 32]
 
@@ -102,6 +103,54 @@ def test_spark_like_recursion(spark):
             assert got == sorted((k, t[a], t[b - 1]) for k, v in keys for t in [sorted(v)] for a, b in brute_split(t, m, eps, aggressive))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=60), st.integers(2, 5), st.integers(1, 25), st.booleans())
+def test_positions_like_copies(values, m, eps, aggressive):
+    """Positions with weights split as their copies do, also where one has many more than the least number."""
+    t = np.sort(np.array(values + [7] * 9 + [8] * 20, np.int64))
+    at, n = np.unique(t, return_counts=True)
+    for least in (0, 3):
+        assert D.split_positions(at, n, m, eps, least, aggressive) == [(t[a], t[b - 1]) for a, b in D.split(t, m, eps, least, aggressive)]
+
+
+def test_in_blocks_of_ranks(spark):
+    """Core distances and forks do not depend on how an axis is cut, nor on hot positions."""
+    rng = np.random.default_rng(4)
+    keys = [(f"k{i}", rng.integers(0, 300, rng.integers(0, 120)).tolist() + [5] * (40 * (i % 2))) for i in range(12)] + [(None, [1, 2, 3, 9, 9])]
+    df = points(spark, *keys)
+    for m in (2, 3, 6):
+        want = {k: D.fork_of(np.sort(np.array(v)), m) for k, v in keys if v}
+        core = {}
+        for k, v in keys:
+            t = sorted(v)
+            if len(t) >= m:
+                core[k] = sorted((t[j], min(t[i + m - 1] - t[i] for i in range(max(0, j - m + 1), min(j, len(t) - m) + 1))) for j in range(len(t)))
+        for block, ranks in ((16, 7), (1 << 20, 1 << 16)):
+            assert {r.key: r.fork_epsilon for r in D.fork_epsilons(df, ["key"], "tip", m, block, ranks).collect()} == want
+            found = {}
+            for r in D.core_distances(df, ["key"], "tip", m, block, ranks).collect():
+                found.setdefault(r.key, []).append((r.tip, r.core_dist))
+            assert {k: sorted(v) for k, v in found.items()} == core
+
+
+def test_one_large_cluster_in_linear_time():
+    """Twice the points of one cluster take about twice the time, from the batches on."""
+    import time
+
+    import pyarrow as pa
+
+    def seconds(n):
+        rng = np.random.default_rng(1)
+        at = np.cumsum(rng.integers(1, 4, n))
+        t = pa.table({"k": ["a"] * n, "start": np.zeros(n, np.int64), "stop": np.full(n, at[-1]), "_at": at, "_w": rng.integers(1, 5, n), "_e": np.full(n, 250)})
+        begun = time.perf_counter()
+        assert sum(b.num_rows for b in D._splitter(["k"], 10, 0, False)(t.to_batches(10_000)))
+        return time.perf_counter() - begun
+
+    seconds(50_000)
+    assert seconds(800_000) < 8 * seconds(200_000) + 0.5
+
+
 def test_bad_parameters(spark):
     df = points(spark, ("a", V18))
     with pytest.raises(ValueError):
