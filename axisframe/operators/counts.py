@@ -83,8 +83,10 @@ def proportions(counted: DataFrame) -> DataFrame:
 
 
 def flatten_samples(counted: DataFrame, n_sources: int, n_elements: int = 0) -> DataFrame:
-    """Wide form: ``sample_i_name``, ``sample_i_count`` and ``sample_i_element_j_name`` / ``_count`` in place of ``samples``."""
+    """Wide form: ``sample_i_name``, ``sample_i_count`` and ``sample_i_element_j_name`` / ``_count`` in place of ``samples``; more samples than ``n_sources`` are an error."""
     wide = []
+    fits = F.when(F.size("samples") > n_sources, F.raise_error(F.lit(f"more than {n_sources} samples"))).otherwise(F.col("samples"))
+    counted = counted.withColumn("samples", fits)
     for i in range(n_sources):
         s = F.get("samples", F.lit(i))
         wide += [s["name"].alias(f"sample_{i}_name"), s["count"].alias(f"sample_{i}_count")]

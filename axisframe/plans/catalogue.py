@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,9 @@ from axisframe.operators.categorise import categorise
 from axisframe.plans import views as V
 from axisframe.plans.fingerprint import distinct_sources, fingerprint
 from axisframe.schema import HEADER
-from axisframe.session import cut, table
-from axisframe.sources import gff, sam, sinks
+from axisframe.session import cut, scratch, table
+from axisframe.sources import alignments, bam, gff, sam, sinks
+from axisframe.sources.files import place
 
 BY, BY3 = list(HEADER), list(HEADER[:3])
 M, E, B, D = V.MIN_POINTS, V.EPSILON, V.BUFFER, V.DISTANCE
@@ -96,47 +98,71 @@ def fork_epsilon(spark: SparkSession, sf: str) -> DataFrame:
     return density.fork_epsilons(V.tips(spark, sf), BY3, "tip", M)
 
 
-def _split(m: int, e: int, levels: int = 7, aggressive: bool = False) -> str:
-    """CTEs of splitting clusters, level by level: split_all(by, start, stop). A cluster still open at the end is an error."""
-    by = _BY3
+def _split(m: int, e: str, levels: int = 7, aggressive: bool = False, least: int = 0, source: str = "tips", by: str = _BY3) -> str:
+    """CTEs of splitting clusters, level by level: split_all(by, start, stop). A cluster still open at the end is an error.
+
+    ``e`` is a number, or a column of ``source`` that is one of ``by``.
+    """
     key = f"{by}, id"
-    on = lambda a, b: " and ".join(f"{a}.{c} = {b}.{c}" for c in ("reference", "strand", "category", "id"))
-    out = [_flat("tips", by, m, str(e), "l0"), f"""
-  pts0 as (select p.reference, p.strand, p.category, f.k::varchar as id, p.tip, {e}::bigint as top from l0flat f join l0p p
-           on p.reference = f.reference and p.strand = f.strand and p.category = f.category where p.i between f.i0 and f.i1)"""]
+    parts = by.split(", ")
+    on = lambda a, b, names=("id",): " and ".join(f"{a}.{c} = {b}.{c}" for c in (*parts, *names))
+    of = lambda a: ", ".join(f"{a}.{c}" for c in parts)
+    eps = f"q.{e}" if e in parts else e
+    top = f"p.{e}" if e in parts else e
+    out = [_flat(source, by, m, e, "l0"), f"""
+  pts0 as (select {of('p')}, f.k::varchar as id, p.tip, {top}::bigint as top from l0flat f join l0p p on {on('p', 'f', ())} where p.i between f.i0 and f.i1)"""]
     done = []
     for n in range(levels):
         out.append(f"""
   r{n} as (select *, row_number() over w as i, lead(tip, {m - 1}) over w - tip as r, lead(tip) over w is not null as more, count(*) over (partition by {key}) as n
            from pts{n} window w as (partition by {key} order by tip)),
-  q{n} as (select *, min(r) over (partition by {key} order by i rows between {m - 1} preceding and current row) as core,
+  q{n} as (select *, greatest({least}, min(r) over (partition by {key} order by i rows between {m - 1} preceding and current row)) as core,
            case when more and n > {m} then min(r) over (partition by {key} order by i rows between {m - 2} preceding and current row) end as g from r{n}),
   d{n} as (select *, lag(g) over (partition by {key} order by i) as pg from q{n} where g is not null),
   e{n} as (select *, lag(g) over w as before, lead(g) over w as after from d{n} where pg is null or g <> pg window w as (partition by {key} order by i)),
   f{n} as (select {key}, max(g) as f from e{n} where g > before and g > after group by {key}),
-  v{n} as (select q.reference, q.strand, q.category, q.id, min(q.tip) as start, max(q.tip) as stop, min(f.f) as f,
-           coalesce(sum({'q.top' if aggressive else e} - greatest(f.f, q.core)) < sum(greatest(0, f.f - q.core)), false) as open
-           from q{n} q left join f{n} f on {on('q', 'f')} group by q.reference, q.strand, q.category, q.id),
-  o{n} as (select q.reference, q.strand, q.category, q.id, q.tip, v.f from q{n} q join v{n} v on {on('q', 'v')} where v.open),
+  v{n} as (select {of('q')}, q.id, min(q.tip) as start, max(q.tip) as stop, min(f.f) as f,
+           coalesce(sum({'q.top' if aggressive else eps} - greatest(f.f, q.core)) < sum(greatest(0, f.f - q.core)), false) as open
+           from q{n} q left join f{n} f on {on('q', 'f')} group by {of('q')}, q.id),
+  o{n} as (select {of('q')}, q.id, q.tip, v.f from q{n} q join v{n} v on {on('q', 'v')} where v.open),
   {_flat(f'o{n}', f'{key}, f', m, 'f - 1', f'l{n + 1}').strip()},
-  pts{n + 1} as (select p.reference, p.strand, p.category, p.id || '.' || x.k as id, p.tip, p.f as top from l{n + 1}flat x join l{n + 1}p p
+  pts{n + 1} as (select {of('p')}, p.id || '.' || x.k as id, p.tip, p.f as top from l{n + 1}flat x join l{n + 1}p p
            on {on('p', 'x')} where p.i between x.i0 and x.i1)""")
         done.append(f"select {by}, start, stop from v{n} where not open")
-    done.append(f"select reference, strand, category, error('clusters left open') as start, 0 as stop from pts{levels}")
+    done.append(f"select {by}, error('clusters left open') as start, 0 as stop from pts{levels}")
     return ",".join(out) + ",\n  split_all as (" + " union all ".join(done) + ")"
 
 
-@query(f"with {V.TIPS}, {_split(M, E)} select {_BY3}, start::bigint as start, stop::bigint as stop from split_all")
+_SPLIT_ROWS = f"select {_BY3}, start::bigint as start, stop::bigint as stop from split_all"
+
+
+@query(f"with {V.TIPS}, {_split(M, str(E))} {_SPLIT_ROWS}")
 def sdbican(spark: SparkSession, sf: str) -> DataFrame:
     return density.sdbican(V.tips(spark, sf), BY3, "tip", M, E)
 
 
-@query(f"with {V.TIPS}, {_split(M, E, aggressive=True)} select {_BY3}, start::bigint as start, stop::bigint as stop from split_all")
+@query(f"with {V.TIPS}, {_split(M, str(E), least=60)} {_SPLIT_ROWS}")
+def sdbican_min_epsilon(spark: SparkSession, sf: str) -> DataFrame:
+    """With a floor under the core distances."""
+    return density.clusters(V.tips(spark, sf), BY3, "tip", M, E, 60)
+
+
+@query(f"with {V.TIPS}, {_split(M, str(E), aggressive=True)} {_SPLIT_ROWS}")
 def sdbican_aggressive(spark: SparkSession, sf: str) -> DataFrame:
     return density.clusters(V.tips(spark, sf), BY3, "tip", M, E, method="SDBICAN-aggressive")
 
 
-@query()
+_FORKS = f"""
+  {_CORE.strip()},
+  g as (select *, case when more and n > {M} then min(r) over (partition by {_BY3} order by i rows between {M - 2} preceding and current row) end as g from r),
+  d as (select *, lag(g) over (partition by {_BY3} order by i) as pg from g where g is not null),
+  e as (select *, lag(g) over w as before, lead(g) over w as after from d where pg is null or g <> pg window w as (partition by {_BY3} order by i)),
+  f as (select {_BY3}, max(g) as f from e where g > before and g > after group by {_BY3})"""
+
+
+@query(f"""with {V.TIPS}, {_FORKS},
+  own as (select t.*, f.f - 1 as eps from tips t join f on f.reference = t.reference and f.strand = t.strand and f.category = t.category),
+  {_split(M, "eps", 14, source="own", by=_BY3 + ", eps").strip()} {_SPLIT_ROWS}""")
 def sdbican_auto_eps(spark: SparkSession, sf: str) -> DataFrame:
     return density.sdbican(V.tips(spark, sf), BY3, "tip", M, None)
 
@@ -195,9 +221,10 @@ def contained_length(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- counts -----------------------------------------------------------------------------------------------------
 
-_CLUSTERS = f"{_flat('tips', _H)}, {_buffered('flat', _H, B)}, {_merged('w', _BY3)}"
 _IN = " and ".join(f"t.{c} = u.{c}" for c in ("reference", "strand", "category")) + " and t.tip between u.start and u.stop"
-_COUNTED = f"""{V.TIPS}, {_CLUSTERS},
+def _counted_in(found: str, name: str) -> str:
+    """CTEs that buffer, join and count the clusters ``name`` of the CTEs ``found``."""
+    return f"""{V.TIPS}, {found}, {_buffered(name, _H, B)}, {_merged('w', _BY3)},
   held as (select u.reference, u.strand, u.category, u.start as s, u.stop as e, t.source, t.tip, t.element from u join tips t on {_IN}),
   whole as (select {_BY3}, s, e, min(tip) as start, max(tip) as stop, cast(trunc(median(tip)) as bigint) as median, count(*) as total from held group by {_BY3}, s, e),
   names as (select distinct source as name from tips),
@@ -206,6 +233,9 @@ _COUNTED = f"""{V.TIPS}, {_CLUSTERS},
            on c.reference = w.reference and c.strand = w.strand and c.category = w.category and c.s = w.s and c.e = w.e and c.source = n.name)"""
 
 
+_COUNTED = _counted_in(_flat("tips", _H), "flat")
+
+
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     t = V.tips(spark, sf)
     found = I.union_buffered(density.dbican(t, BY, "tip", M, E), BY, B)
@@ -233,7 +263,7 @@ _WIDE = ", ".join(f"(list(name order by name))[{i + 1}] as sample_{i}_name, (lis
 
 @query(f"with {_COUNTED} select {_BY3}, start, stop, median, {_WIDE} from each group by {_BY3}, start, stop, median, s, e")
 def count_reads_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return counts.flatten_samples(_counted(spark, sf), 8)
+    return counts.flatten_samples(_counted(spark, sf), V.n_sources(spark, sf))
 
 
 @query(f"""with {_COUNTED},
@@ -333,14 +363,38 @@ def pair_known_strict(spark: SparkSession, sf: str) -> DataFrame:
   from pairs p join wide w on p.reference = w.reference and p.strand = w.strand and p.category = w.category and p.s = w.s and p.e = w.e
   join shares x on p.reference = x.reference and p.strand = x.strand and p.category = x.category and p.s = x.s and p.e = x.e""")
 def fingerprint_job(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fingerprint(V.tips(spark, sf), M, E, method="DBICAN", buffer=B, known=V.known(spark, sf), distance=D, n_sources=8)
-    return headers.output_order(counts.flatten_samples(rows, 8))
-
-
-@query()
+    n = V.n_sources(spark, sf)
+    rows = fingerprint(V.tips(spark, sf), M, E, method="DBICAN", buffer=B, known=V.known(spark, sf), distance=D, n_sources=n)
+    return headers.output_order(counts.flatten_samples(rows, n))
+
+
+_TOP = ", ".join(
+    f"max(x.name) filter (i = {i}) as sample_{i}_name, max(x.count) filter (i = {i}) as sample_{i}_count, "
+    + ", ".join(f"coalesce(max(k.element) filter (i = {i} and rank = {j + 1}), '.') as sample_{i}_element_{j}_name, coalesce(max(k.n) filter (i = {i} and rank = {j + 1}), 0) as sample_{i}_element_{j}_count" for j in range(2))
+    for i in range(8)
+)
+
+
+@query(f"""with {_counted_in(_split(M, str(E), by=_H), "split_all")},
+  ec as (select {_BY3}, s, e, source, element, count(*) as n, min(tip) as first from held group by all),
+  k as (select *, row_number() over (partition by {_BY3}, s, e, source order by n desc, first, element) as rank from ec),
+  numbered as (select name, row_number() over (order by name) - 1 as i from names),
+  topped as (select x.reference, x.strand, x.category, x.s, x.e, {_TOP}
+    from each x join numbered n on n.name = x.name
+    left join k on k.reference = x.reference and k.strand = x.strand and k.category = x.category and k.s = x.s and k.e = x.e and k.source = x.name
+    group by x.reference, x.strand, x.category, x.s, x.e),
+  shares as (select {_BY3}, start, stop, median, s, e, max(count) / sum(count) as p from each group by {_BY3}, start, stop, median, s, e),
+  named as (select *, '' as known_element, category || '_' || reference || '_' || strand || '_' || case when strand = '+' then stop else start end as ID from shares),
+  n1 as (select *, lag(strand) over w as bs, lag(stop) over w as bstop, lag(ID) over w as bid, lead(strand) over w as ns, lead(start) over w as nstart, lead(ID) over w as nid
+         from named window w as (partition by reference, category order by median, strand))
+  select n1.reference, n1.strand, n1.category, n1.start, n1.stop, n1.median, t.* exclude (reference, strand, category, s, e), n1.p as max_count_proportion,
+         {{colour}} as color, n1.ID,
+         case when n1.strand = '-' and bs = '+' and bstop >= n1.start then bid when n1.strand = '+' and ns = '-' and n1.stop >= nstart then nid else '.' end as pair
+  from n1 join topped t on n1.reference = t.reference and n1.strand = t.strand and n1.category = t.category and n1.s = t.s and n1.e = t.e""".replace("{colour}", _COLOUR))
 def fingerprint_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The default method, over the whole table; splits have their own SQL in sdbican."""
-    return counts.flatten_samples(fingerprint(V.tips(spark, sf), M, E, buffer=B, n_elements=2, n_sources=8), 8, 2)
+    """The default method with common elements, over the whole table."""
+    n = V.n_sources(spark, sf)
+    return counts.flatten_samples(fingerprint(V.tips(spark, sf), M, E, buffer=B, n_elements=2, n_sources=n), n, 2)
 
 
 # --- key and field algebra --------------------------------------------------------------------------------------
@@ -479,24 +533,25 @@ def anchor_intervals(spark: SparkSession, sf: str) -> DataFrame:
 @query("""select distinct read_id, reference, strand, coalesce(category, '.') as category, source, tip from read_tips
   where mapq >= 30 and flag & 4 = 0 and reference = 'chr4' and tip between 5000 and 60000 and me is not null""")
 def region_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """One region of one reference with a least quality; both reach the Parquet scan."""
-    rows = table(spark, sf, "read_tips").where(P.mapped_well(30) & ~P.has_flag(P.UNMAPPED) & (F.col("reference") == "chr4") & F.col("tip").between(5000, 60000) & F.col("me").isNotNull())
+    """One region of one reference with a least quality; all of it reaches the Parquet scan."""
+    rows = table(spark, sf, "read_tips").where(P.mapped_well(30) & ~P.has_flag(P.UNMAPPED) & sam.in_region("chr4:5000-60000", "reference", "tip", "tip") & F.col("me").isNotNull())
     return rows.select("read_id", "reference", "strand", F.coalesce("category", F.lit(".")).alias("category"), "source", "tip").distinct()
 
 
-_COLS = "{0}"
-for _plain, _code in X.COLUMN_ESCAPES:
-    _COLS = f"replace({_COLS}, '{_code}', chr({ord(_plain)}))"
+_COLUMN = "replace(replace(replace({0}, '%25', '%'), '%09', chr(9)), '%0D', chr(13))"
 
 
 @query(f"""with c as (select line_id as ord, string_split(line, chr(9)) as c from gff_lines where line not like '#%' and trim(line) <> ''),
-  t as (select *, {_COLS.format('c[3]')} as element from c where regexp_full_match(c[4], '[0-9]+') and regexp_full_match(c[5], '[0-9]+') and len(c[4]) < 18 and len(c[5]) < 18)
-  select {_COLS.format('c[1]')} as reference, case when starts_with(element, 'repeat_r') then 'repeat_r' when starts_with(element, 'repeat') then 'repeat' when starts_with(element, 'mobile') then 'mobile' end as category,
-         '.' as source, c[4]::bigint as start, c[5]::bigint as stop, element, ord from t where starts_with(element, 'repeat') or starts_with(element, 'mobile')""")
+  t as (select ord, {_COLUMN.format('c[1]')} as reference, {_COLUMN.format('c[3]')} as element, try_cast(c[4] as bigint) as start, try_cast(c[5] as bigint) as stop,
+    c[4] as a, c[5] as b from c)
+  select reference, case when starts_with(element, 'repeat_r') then 'repeat_r' when starts_with(element, 'repeat') then 'repeat' when starts_with(element, 'mobile') then 'mobile' end as category,
+         '.' as source, start, stop, element, ord from t where (starts_with(element, 'repeat') or starts_with(element, 'mobile'))
+         and regexp_full_match(a, '[0-9]+') and regexp_full_match(b, '[0-9]+') and start is not null and stop is not null""")
 def annotation_scan(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "gff_lines").select(F.col("line").alias("value"), F.col("line_id").alias("ord"))
-    digits = lambda i: F.coalesce(F.get(F.split("value", "\t"), F.lit(i)).rlike("^[0-9]{1,17}$"), F.lit(False))
-    return gff.annotation_intervals(lines.where(digits(3) & digits(4)), ["mobile", "repeat", "repeat_r"])
+    """Features whose ends are written in digits; numbers beyond 64 bits are none."""
+    digits = lambda i: F.coalesce(F.get(F.split("value", "\t"), F.lit(i)).rlike("^[0-9]+$"), F.lit(False))
+    lines = table(spark, sf, "gff_lines").select(F.col("line").alias("value"), F.col("line_id").alias("ord")).where(digits(3) & digits(4))
+    return gff.annotation_intervals(lines, ["mobile", "repeat", "repeat_r"]).where("start is not null and stop is not null")
 
 
 @query(f"""with {V.SAM} select qname, flag::integer as flag, rname, pos, mapq::integer as mapq, cigar, rnext, pnext, 0::bigint as tlen, seq, qual, source from sam""")
@@ -517,13 +572,9 @@ def label_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- text -------------------------------------------------------------------------------------------------------
 
-_ENC = "{0}"
-for _plain, _code in X.ATTRIBUTE_ESCAPES:
-    _char = f"chr({ord(_plain)})"
-    _ENC = f"replace({_ENC}, {_char}, '{_code}')"
-_DEC = "{0}"
-for _plain, _code in X.ATTRIBUTE_ESCAPES:
-    _DEC = f"replace({_DEC}, '{_code}', chr({ord(_plain)}))"
+# Written out, so that a change of the operator's table shows: percent first, then tab, carriage return, ; = & and comma.
+_ENC = "replace(replace(replace(replace(replace(replace(replace({0}, '%', '%25'), chr(9), '%09'), chr(13), '%0D'), ';', '%3B'), '=', '%3D'), '&', '%26'), ',', '%2C')"
+_DEC = "replace(replace(replace(replace(replace(replace(replace({0}, '%25', '%'), '%09', chr(9)), '%0D', chr(13)), '%3B', ';'), '%3D', '='), '%26', '&'), '%2C', ',')"
 
 
 @query(f"select doc_id, md5({_ENC.format('text')}) as encoded from documents")
@@ -531,9 +582,22 @@ def gff_encode(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(X.encode_attribute("text")).alias("encoded"))
 
 
-@query(f"select distinct gff_id, {_DEC.format('attributes')} as decoded from gff")
+_ESCAPED = "attributes || '%0A' || chr(10) || '%2509%3B'"
+
+
+@query(f"select distinct gff_id, {_DEC.format('(' + _ESCAPED + ')')} as decoded from gff")
 def gff_decode(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "gff").select("gff_id", X.decode_attribute("attributes").alias("decoded")).distinct()
+    """Every field followed by an escaped and a plain line feed (both stay) and a percent sign that hides a tab (which comes out)."""
+    text = F.concat("attributes", F.lit("%0A\n%2509%3B"))
+    return table(spark, sf, "gff").select("gff_id", X.decode_attribute(text).alias("decoded")).distinct()
+
+
+@query("select doc_id, md5(text) as same from documents")
+def gff_escape_strict(spark: SparkSession, sf: str) -> DataFrame:
+    """The strict escapes of a text, undone: every text comes back, and none has a line feed in between."""
+    coded = X.encode_attribute("text", strict=True)
+    checked = F.when(F.contains(coded, F.lit("\n")), F.raise_error(F.lit("a line feed is left"))).otherwise(X.decode_attribute(coded, strict=True))
+    return table(spark, sf, "documents").select("doc_id", F.md5(checked).alias("same"))
 
 
 @query(f"""with {V.TIPS}, {_flat('tips', _H)} select reference || chr(9) || 'axisframe' || chr(9) || '.' || chr(9) || start || chr(9) || stop || chr(9) || '.' || chr(9) || strand || chr(9) || '.' || chr(9)
@@ -570,20 +634,77 @@ def filter_all(spark: SparkSession, sf: str) -> DataFrame:
     return _kept(spark, sf, all_of=["end>20000", "strand==-", "category != Copia"])
 
 
-@query(_KEPT + "(start < 20000 or n >= 20) and true")
+@query(_KEPT + "start < 20000 or n >= 20")
 def filter_any(spark: SparkSession, sf: str) -> DataFrame:
     return _kept(spark, sf, any_of=["start<20000", "n>=20"])
 
 
-@query(_KEPT + "(category = 'Copia' or source = 'sample_a.bam') and false or (source = 'sample_a.bam' and n > 5)")
+@query(_KEPT + "n > 5 and start > 100 and stop > 100 and (source = 'sample_a.bam' or category = 'Copia')")
 def filter_wildcard(spark: SparkSession, sf: str) -> DataFrame:
-    """``so*`` and ``s[ot]*ce`` expand over field names; the attribute ``source`` gives way to the column of that name."""
+    """Wildcards in field names: ``?`` and ``[]`` one character, ``*`` any; under all every field must pass, and a name that no field has is false."""
     rows = sinks.feature_lines(dbican(spark, sf).select(*BY, "start", "stop", "n").withColumnRenamed("source", "sample"), "axisframe")
     f = lambda n: F.element_at("fields", F.lit(n))
-    kept = keep_features(gff.parse_features(rows), all_of=["n>5"], any_of=["s?mple=sample_a.bam", "nothing*>1"])
+    kept = keep_features(gff.parse_features(rows), all_of=["[n]>5", "[se][tn][ad]*>100"], any_of=["s?mple=sample_a.bam", "nothing*>1", "cat*=Copia"])
     return kept.select(f("seqid").alias("seqid"), f("start").cast("long").alias("start"), f("end").cast("long").alias("stop"), f("n").cast("long").alias("n"))
 
 
+# --- files ------------------------------------------------------------------------------------------------------
+
+_TAGGED = """tagged as (select *, ['Copia_1', 'Copia_Co07', 'Gypsy-2', 'LINE1'][pos % 4 + 1] as element from parts)"""
+
+
+def _tagged(spark: SparkSession, sf: str) -> DataFrame:
+    element = F.element_at(F.array(*map(F.lit, ("Copia_1", "Copia_Co07", "Gypsy-2", "LINE1"))), (F.col("pos") % 4 + 1).cast("int"))
+    return V.sam(spark, sf).withColumn("tags", F.array(F.lit("NM:i:3"), F.concat(F.lit("ME:Z:"), element)))
+
+
+@query(f"""with {V.SAM}, {_TAGGED}
+  select rname as reference, case when rev then '-' else '+' end as strand, case when starts_with(element, 'Copia_Co') then 'Copia_Co' when starts_with(element, 'Copia') then 'Copia' else 'Gypsy' end as category,
+         source, case when rev then pos else pos + span - 1 end as tip, element
+  from tagged where not un and mapq >= 30 and not starts_with(element, 'LINE') and (rname = 'm4' or (rname = 'm3' and pos <= 900 and pos + span - 1 >= 100))""")
+def read_tips(spark: SparkSession, sf: str) -> DataFrame:
+    """Tips of two regions, one of them a stretch of a reference."""
+    return sam.read_tips(_tagged(spark, sf), ["Copia", "Copia_Co", "Gypsy"], 30, ["m3:100-900", "m4"])
+
+
+@query(f"""with {V.SAM}, {_TAGGED} select qname, flag::integer as flag, rname, pos, mapq::integer as mapq, cigar, case when rnext = rname then '=' else rnext end as rnext, pnext, seq, qual, 'ME:Z:' || element as tag from tagged""")
+def bam_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written as BAM files by all tasks and read again in splits far smaller than the files."""
+    bam.register(spark)
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}.bam"
+    bam.write_bam(_tagged(spark, sf), path, [(f"m{i}", 10**9) for i in range(7)])
+    rows = spark.read.format("bam").option("splitbytes", 1 << 18).load(path)
+    return rows.select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "seq", "qual", F.element_at("tags", -1).alias("tag"))
+
+
+@query("select row_number() over (order by reference) - 1 as ord, reference, ref_length from refs")
+def reference_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference list of a BAM file and of a SAM file, which must agree; a header is a list the driver holds by definition."""
+    listed = [(r.reference, r.ref_length) for r in table(spark, sf, "refs").select("reference", "ref_length").orderBy("reference").collect()]
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    place(folder)[0].create_dir(place(folder)[1])
+    bam.write_file(f"{folder}/a.bam", bam.sq_lines(listed), listed, [])
+    with place(folder)[0].open_output_stream(place(folder)[1] + "/b.sam") as f:
+        f.write(bam.sq_lines(listed).encode())
+    alignments.common_references(spark, f"{folder}/a.bam", f"{folder}/b.sam")
+    return alignments.references(spark, f"{folder}/a.bam").select(F.col("ord").cast("long").alias("ord"), "reference", "ref_length")
+
+
+@query(f"""with {V.TIPS}, {_flat('tips', _H)} select reference || chr(9) || 'axisframe' || chr(9) || '.' || chr(9) || start || chr(9) || stop || chr(9) || '.' || chr(9) || strand || chr(9) || '.' || chr(9)
+  || 'category=' || category || ';n=' || n || ';sample=' || source as value from flat""")
+def format_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines parsed to fields and written again, the attributes in order of name."""
+    rows = sinks.feature_lines(dbican(spark, sf).select("n", *BY, "start", "stop").withColumnRenamed("source", "sample"), "axisframe")
+    return gff.format_features(gff.parse_features(rows)).select("value")
+
+
+@query("select 'copies' as pair, true as same union all select 'one row less', false")
+def same_loci(spark: SparkSession, sf: str) -> DataFrame:
+    rows = V.loci(spark, sf)
+    first = rows.agg(F.min("locus_id")).scalar()
+    return spark.createDataFrame([("copies", headers.same_loci(rows, rows.select(*reversed(rows.columns)))), ("one row less", headers.same_loci(rows, rows.where(F.col("locus_id") != first)))], "pair string, same boolean")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -19,6 +19,10 @@ def tips(spark: SparkSession, sf: str) -> DataFrame:
     return reads.dropna("any").where("strand <> '.'").distinct().drop("read_id")
 
 
+def n_sources(spark: SparkSession, sf: str) -> int:
+    return tips(spark, sf).select("source").distinct().count()
+
+
 TIPS = """tips as (
   select distinct read_id, reference, strand, category, source, tip, me as element from read_tips
   where reference is not null and strand <> '.' and category is not null and source is not null and tip is not null and me is not null)"""

@@ -53,13 +53,14 @@ def aligned_reads(sam: DataFrame, quality: int = 0, regions: list[str] | None =
     return rows.select(F.col("rname").alias("reference"), strand.alias("strand"), "start", "stop", "source", tag_value(tag).alias("element"))
 
 
-def in_region(region: str) -> Column:
+def in_region(region: str, name: str = "rname", start: str = "start", stop: str = "stop") -> Column:
     """Reads of a reference, or those that overlap reference:start-stop."""
-    name, _, span = region.partition(":")
+    wanted, _, span = region.partition(":")
     if not span:
-        return F.col("rname") == name
+        return F.col(name) == wanted
     low, _, high = span.replace(",", "").partition("-")
-    return (F.col("rname") == name) & (F.col("start") <= int(high or 2**62)) & (F.col("stop") >= int(low))
+    inside = (F.col(name) == wanted) & (F.col(stop) >= int(low))
+    return inside & (F.col(start) <= int(high)) if high else inside
 
 
 def region_name(region: str | Column) -> Column:
