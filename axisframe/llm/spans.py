@@ -10,37 +10,50 @@ text without blanks, where every position more than LOOKBACK characters into a r
 2. Edges that follow each other, with one successor and one predecessor in all records, are a nonbranching path;
    paths are compacted by joins that jump to the head known so far, until no edge moves.
 3. A record runs along a path from its first to its last k-mer there: source coordinates of a candidate span.
-4. Spans are verified in the texts: a window of SPAN characters is shared if it stands in two records (least and
-   greatest record differ, an aggregate that any hot window is pre-aggregated by). Windows at k-mers settle the
-   inside of a span; around every k-mer that ends a span of any record all windows are looked at, in all records
-   that hold it; where the inside is not settled that way, all windows around its k-mers are looked at too.
-
-The hashes are 64 bits of a keyed polynomial; no step sends all pairs of a group anywhere.
+4. Windows of SPAN characters at and around the ends of the candidates are looked at: those at k-mers settle the inside
+   of a span; around every k-mer that ends a span of any record all windows are looked at, in all records
+   that hold it; where the inside is not settled that way, all windows around its k-mers are looked at too. A window
+   whose hash stands in two records gives a pair of source coordinates: its own and those of one other record.
+5. Coordinates verify the spans: windows that run on side by side in two records are one stretch of either text, both
+   texts are cut out and compared letter for letter. If a single stretch differs (two windows had one hash), windows
+   are looked at once more with their text in place of the hash. So no result rests on hashes.
+
+Hashes are polynomials with a base made from a seed, and only choose what is compared. Keys that many records share are
+split by record before rows meet them; no step sends all pairs of a group anywhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisframe.session import cut, ship
+from axisframe.session import cut, discard, ship, shuffle_partitions
 
 SPAN = 120
 KMER, WINDOW, LOOKBACK = 28, 76, 16
 #: Every so many windows one is looked at first.
 GRID = 8
-#: Bitmaps of 32768 bits in the filter that spares texts a shuffle.
-BITMAPS = 512
+#: Bits per document in the filter that spares texts a shuffle, and its largest size (32 MB, broadcast); beyond that it is left out.
+BITS_EACH, MOST_BITS = 8, 1 << 28
+#: Rows of a key that are never split.
+WHOLE = 10_000
 #: Characters a task works on at once.
 CHUNK = 1 << 20
 
 _MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _base(seed: int) -> int:
+    """An odd multiplier made from the seed."""
+    x = (seed + 0x9E3779B97F4A7C15) & _MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return (x ^ (x >> 31)) | 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,34 +65,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, grown as needed."""
+    """Powers of a base and of its inverse, grown as needed."""
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
+    def get(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if base not in cls.known or len(cls.known[base][0]) < n:
             more = 1 << max(12, (n - 1).bit_length())
             grow = lambda b: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(more - 1, b, np.uint64)]))
-            cls.up, cls.down = grow(_BASE), grow(_INVERSE)
-        return cls.up, cls.down
+            cls.known[base] = grow(base), grow(pow(base, -1, 1 << 64))
+        return cls.known[base]
 
 
 class Texts:
-    """Code points of several texts end to end, with hashes of any stretch."""
+    """Code points of several texts end to end, with hashes of any stretch.
+
+    ``bits`` of each hash are kept; fewer make unequal stretches collide, which costs comparisons but changes no result.
+    """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], seed: int = 0, bits: int = 64):
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lengths)])
         self.points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(self.points)
-        up, self.down = _Powers.get(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
+        up, self.down = _Powers.get(_base(seed), n + 1)
+        self.sums, self.bits = np.zeros(n + 1, np.uint64), np.uint64(_MASK >> (64 - bits))
         np.cumsum(_mix(self.points + np.uint32(1)) * up[:n], out=self.sums[1:])
 
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
-        return _mix((self.sums[at + length] - self.sums[at]) * self.down[at]).view(np.int64)
+        return (_mix((self.sums[at + length] - self.sums[at]) * self.down[at]) & self.bits).view(np.int64)
+
+    def cut(self, at: np.ndarray, length: np.ndarray) -> list[str]:
+        """The texts of stretches."""
+        raw = self.points.tobytes()
+        return [raw[4 * a : 4 * (a + n)].decode("utf-32-le", "surrogatepass") for a, n in zip(at.tolist(), length.tolist())]
 
     def tokens(self) -> np.ndarray:
         """Positions where a token begins."""
@@ -131,6 +151,28 @@ class Texts:
         return at[keep], h[keep]
 
 
+@dataclass(frozen=True)
+class Hashing:
+    """How windows are told apart: by hashes of a seed, or by their text."""
+
+    seed: int = 0
+    bits: int = 64
+    by_text: bool = False
+
+    def texts(self, texts: list[str]) -> Texts:
+        return Texts(texts, self.seed, self.bits)
+
+    def names(self, t: Texts, at: np.ndarray, span: int) -> pa.Array:
+        """What windows are grouped by."""
+        if self.by_text:
+            return pa.array([x.encode("utf-8", "surrogatepass") for x in t.cut(at, np.full(len(at), span))], pa.binary())
+        return pa.array(t.hashes(at, span))
+
+    @property
+    def kind(self) -> tuple[str, pa.DataType]:
+        return ("binary", pa.binary()) if self.by_text else ("long", pa.int64())
+
+
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Pieces of batches of about CHUNK characters; column 1 is the text, null counts as empty."""
     for batch in batches:
@@ -143,10 +185,10 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 low, size = i + 1, 0
 
 
-def _kmers(schema: pa.Schema):
+def _kmers(schema: pa.Schema, how: Hashing):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunks(batches):
-            t = Texts(texts)
+            t = how.texts(texts)
             at, h = t.kept()
             owner = np.searchsorted(t.starts, at, "right") - 1
             first = np.searchsorted(owner, owner)
@@ -169,69 +211,114 @@ def _places(batch: pa.RecordBatch, column: int, t: Texts) -> tuple[np.ndarray, n
     return t.starts[owner] + np.asarray(lists.flatten()).astype(np.int64), owner
 
 
-def _probes(schema: pa.Schema, span: int):
+def _probes(schema: pa.Schema, span: int, how: Hashing):
     """Windows looked at first; rows are (doc, text, lows, highs, marks).
 
     Around each marked k-mer every GRID-th window, with the core that it and the GRID - 1 windows before it have in
-    common; and the window that begins at each k-mer between lows and highs (``mark`` -1, its own core).
+    common; and the window that begins at each k-mer between lows and highs (``mark`` -1). A core that
+    reaches the end of the text has no window of its own.
     """
     core, steps = span - GRID + 1, -(-(span - KMER + 1) // GRID)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunks(batches):
-            t = Texts(texts)
+            t = how.texts(texts)
             (low, _), (high, _), (mark, owner) = _places(batch, 2, t), _places(batch, 3, t), _places(batch, 4, t)
             at = (mark[:, None] - GRID * np.arange(steps)).ravel()
             home, of = np.repeat(owner, steps), np.repeat(mark - t.starts[owner], steps)
             good = (at >= t.starts[home]) & (at + core <= t.starts[home + 1])
             at, home, of = at[good], home[good], of[good]
-            c = t.hashes(at, core)
-            fits = at + span <= t.starts[home + 1]
-            f = c.copy()
-            f[fits] = t.hashes(at[fits], span)
             kept, _ = t.kept() if len(low) else (low, low)
             inner, _ = _ranges(np.searchsorted(kept, low), np.searchsorted(kept, high, "right") - 1)
             inner = kept[inner]
             own = np.searchsorted(t.starts, inner, "right") - 1
             good = inner + span <= t.starts[own + 1]
             inner, own = inner[good], own[good]
-            g = t.hashes(inner, span)
+            c = np.concatenate([t.hashes(at, core), np.zeros(len(inner), np.int64)])
             home, at = np.concatenate([home, own]), np.concatenate([at, inner])
-            columns = [(at - t.starts[home]).astype(np.int32), np.concatenate([of, np.full(len(inner), -1)]).astype(np.int32), np.concatenate([c, g]), np.concatenate([f, g]), np.concatenate([fits, np.ones(len(inner), bool)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(home)), *map(pa.array, columns)], schema=schema)
+            fits = at + span <= t.starts[home + 1]
+            names = how.names(t, at[fits], span)
+            place = np.cumsum(fits) - 1
+            f = names.take(pa.array(place, mask=~fits))
+            columns = [(at - t.starts[home]).astype(np.int32), np.concatenate([of, np.full(len(inner), -1)]).astype(np.int32), c]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(home)), *map(pa.array, columns), f], schema=schema)
 
     return run
 
 
-def _between(schema: pa.Schema, span: int):
+def _between(schema: pa.Schema, span: int, how: Hashing):
     """The GRID - 1 windows before each place; rows are (doc, text, places)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunks(batches):
-            t = Texts(texts)
+            t = how.texts(texts)
             place, owner = _places(batch, 2, t)
             at, _ = _ranges(np.maximum(place - GRID + 1, t.starts[owner]), np.minimum(place - 1, t.starts[owner + 1] - span))
             at = np.unique(at)
             home = np.searchsorted(t.starts, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(home)), pa.array((at - t.starts[home]).astype(np.int32)), pa.array(t.hashes(at, span))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(home)), pa.array((at - t.starts[home]).astype(np.int32)), how.names(t, at, span)], schema=schema)
 
     return run
 
 
-def kmers(docs: DataFrame) -> DataFrame:
+def _pieces(schema: pa.Schema):
+    """The texts of stretches; rows are (doc, text, list of (low, size, pdoc, plow))."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(wanted.offsets)))
+            low, size, pdoc, plow = wanted.flatten().flatten()
+            texts = batch.column(1).to_pylist()
+            held, n = [], 0
+            for i, (o, a, k) in enumerate(zip(owner.tolist(), low.to_pylist(), size.to_pylist())):
+                held.append(texts[o][a : a + k].encode("utf-8", "surrogatepass"))
+                n += k
+                if n >= CHUNK or i == len(owner) - 1:
+                    begin = i + 1 - len(held)
+                    yield pa.RecordBatch.from_arrays([pdoc.slice(begin, len(held)), plow.slice(begin, len(held)), size.slice(begin, len(held)), pa.array(held, pa.binary())], schema=schema)
+                    held, n = [], 0
+
+    return run
+
+
+def kmers(docs: DataFrame, how: Hashing = Hashing()) -> DataFrame:
     """(doc, ordinal, at, h) of all kept k-mers; ``docs`` is (doc, text)."""
     ship(docs.sparkSession)
     schema = pa.schema([("doc", pa.int64()), ("ordinal", pa.int32()), ("at", pa.int32()), ("h", pa.int64())])
-    return docs.mapInArrow(_kmers(schema), "doc long, ordinal int, at int, h long")
+    return docs.mapInArrow(_kmers(schema, how), "doc long, ordinal int, at int, h long")
+
+
+def shared_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, lo, hi, ways) of the values of ``key`` in two documents at least; lo and hi are (doc, at) of the first and last.
 
+    Aggregated map-side, so no hot value gathers. ``ways`` is in how many parts, by document, the rows of a value
+    are to be worked on: more than one for fewer than four values a partition, however the rows are spread.
+    """
+    place = F.struct("doc", "at")
+    each = rows.groupBy(key).agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo.doc < hi.doc")
+    each = cut(each)
+    share = each.agg(F.greatest(F.lit(WHOLE), F.sum("_n") / (4 * shuffle_partitions(rows.sparkSession))).alias("x")).scalar()
+    return each.select(key, "lo", "hi", F.greatest(F.lit(1), F.ceil(F.col("_n") / share)).cast("int").alias("ways"))
 
-def in_two(rows: DataFrame, h: str = "h") -> DataFrame:
-    """Values of ``h`` that occur in two documents at least; aggregated map-side, so no hot value gathers."""
-    return rows.groupBy(h).agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).where("_lo < _hi").select(h)
+
+def split_join(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner", ways: str = "ways") -> DataFrame:
+    """``rows`` joined to the row of their key in ``keys``; what has many ways is met in parts, by document.
+
+    ``keys`` has one row per key, with ``ways``. Rows that have no column ``ways`` yet get it from the keys of more than one
+    way, of which there are fewer than four a partition, so that side may be broadcast.
+    """
+    if ways not in rows.columns:
+        hot = keys.where("ways > 1").select(key, F.col("ways").alias(ways))
+        rows = rows.join(F.broadcast(hot), key, "left").withColumn(ways, F.coalesce(ways, F.lit(1)))
+    # Rows without a key, which a left join keeps, are spread too.
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc"), F.when(F.col(key).isNull(), F.lit(1024)).otherwise(F.col(ways))).cast("int"))
+    parts = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1))).drop("ways")
+    return rows.join(parts, [key, "_part"], how).drop("_part")
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """(h, head): the head of the nonbranching path of each edge of ``edges`` = (doc, ordinal, at, h).
+    """(h, head): the head of the nonbranching path of each edge of ``edges`` = (doc, ordinal, at, h, ways).
 
     A record's stretch of links gives each edge the head of that stretch; the farthest is taken over all records,
     and heads then jump to their own head until none moves. Where a closed path is cut is left
@@ -244,7 +331,9 @@ def compact(edges: DataFrame) -> DataFrame:
     out = links.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("v2")).where("v = v2").select("u", "v")
     into = links.groupBy("v").agg(F.min("u").alias("u"), F.max("u").alias("u2")).where("u = u2").select("u", "v")
     plain = out.join(into, ["u", "v"])
-    marked = steps.join(plain.select(F.col("u").alias("prev"), F.col("v").alias("h"), F.lit(True).alias("_on")), ["prev", "h"], "left")
+    # An edge goes on a stretch if it follows the one predecessor it has.
+    on = plain.select("u", F.col("v").alias("h")).join(edges.groupBy("h").agg(F.max("ways").alias("ways")), "h")
+    marked = split_join(steps, on, "h", "left").withColumn("_on", F.col("prev") == F.col("u"))
     runs = marked.withColumn("_run", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(by_doc))
     place = Window.partitionBy("doc", "_run").orderBy("ordinal")
     runs = runs.withColumns({"head": F.first("h").over(place), "dist": F.col("ordinal") - F.first("ordinal").over(place)})
@@ -263,7 +352,8 @@ def compact(edges: DataFrame) -> DataFrame:
 def candidate_spans(edges: DataFrame) -> DataFrame:
     """(doc, path, low, high, h_low, h_high): first and last k-mer of each stretch of a document along one path."""
     paths = compact(edges)
-    on = edges.join(paths, "h")
+    ways = edges.groupBy("h").agg(F.max("ways").alias("ways"))
+    on = split_join(edges, paths.join(ways, "h"), "h")
     by_doc = Window.partitionBy("doc").orderBy("ordinal")
     fresh = (F.lag("ordinal").over(by_doc) == F.col("ordinal") - 1) & (F.lag("head").over(by_doc) == F.col("head"))
     on = on.withColumn("_s", F.sum(F.when(fresh, 0).otherwise(1)).over(by_doc))
@@ -271,11 +361,15 @@ def candidate_spans(edges: DataFrame) -> DataFrame:
 
 
 def prefilter(docs: DataFrame, ids: DataFrame, key: str = "doc") -> DataFrame:
-    """``docs`` without most rows whose key is not in ``ids``, to shuffle fewer texts; no key of ``ids`` is lost.
+    """``docs`` without most rows whose key is not in ``ids`` (a written table), to shuffle fewer texts; no key of ``ids`` is lost.
 
-    A bitmap of BITMAPS * 32768 bits, whatever the data, is what is broadcast; the more keys, the less it drops.
+    A bitmap of about BITS_EACH bits for each id is broadcast. If that were more than MOST_BITS all texts are kept.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * 32768))
+    wanted = BITS_EACH * ids.count()
+    if wanted > MOST_BITS:
+        return docs
+    bits = max(1 << 15, 1 << (wanted - 1).bit_length())
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     hashed = ids.select(bit(key).alias("_b"))
     maps = hashed.groupBy(F.expr("_b div 32768").alias("_bucket")).agg(F.bitmap_construct_agg(F.expr("_b % 32768")).alias("_map"))
     tested = docs.withColumn("_b", bit(key)).withColumn("_bucket", F.expr("_b div 32768")).join(F.broadcast(maps), "_bucket")
@@ -283,8 +377,13 @@ def prefilter(docs: DataFrame, ids: DataFrame, key: str = "doc") -> DataFrame:
     return tested.where(F.getbit(byte, F.expr("cast(_b % 8 as int)")) == 1).select(*docs.columns)
 
 
-def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None, span: int) -> DataFrame:
-    """(doc, at) of windows that stand in two documents; between successive ones at most GRID apart all are.
+def _peer(lo: str = "lo", hi: str = "hi") -> Column:
+    """The place of a window in another document: the first, or for the first document itself the last."""
+    return F.when(F.col(f"{lo}.doc") != F.col("doc"), F.col(lo)).otherwise(F.col(hi))
+
+
+def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None, span: int, how: Hashing = Hashing()) -> DataFrame:
+    """(doc, at, peer) of windows that stand in two documents; between successive ones at most GRID apart all are.
 
     Which windows are looked at is a matter of the k-mers and the texts around them alone (``marks`` holds all
     occurrences of the marked ones), so a window is looked at in every document it stands in, or in none: a
@@ -299,23 +398,49 @@ def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None,
         lists = ranges.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("x"))
         each = lists.join(each, "doc", "left").select("doc", F.col("x.low").alias("lows"), F.col("x.high").alias("highs"), F.coalesce("marks", none).alias("marks"))
     each = cut(each)
-    schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("mark", pa.int32()), ("c", pa.int64()), ("f", pa.int64()), ("fits", pa.bool_())])
+    kind, arrow = how.kind
+    schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("mark", pa.int32()), ("c", pa.int64()), ("f", arrow)])
     held = prefilter(docs, each).join(each, "doc").select("doc", "text", "lows", "highs", "marks")
-    rows = cut(held.mapInArrow(_probes(schema, span), "doc long, at int, mark int, c long, f long, fits boolean"))
-    full = in_two(rows.where("fits"), "f").withColumn("fs", F.lit(True))
-    core = in_two(rows.where("mark >= 0"), "c").withColumn("cs", F.lit(True))
-    rows = rows.join(full, "f", "left").join(core, "c", "left")
-    rows = cut(rows.select("doc", "at", "mark", "c", (F.col("fits") & F.coalesce("fs", F.lit(False))).alias("fs"), F.coalesce("cs", F.lit(False)).alias("cs")).where("fs or cs"))
-    found = rows.where("fs").select("doc", "at")
-    grid = Window.partitionBy("doc", "mark").orderBy("at")
-    settled = F.col("fs") & F.coalesce(F.lag("fs").over(grid) & (F.lag("at").over(grid) == F.col("at") - GRID), F.lit(False))
-    blocks = cut(rows.where("mark >= 0 and cs").withColumn("open", ~settled).select("doc", "at", "c", "open"))
-    opened = blocks.join(blocks.where("open").select("c").distinct(), "c", "left_semi").select("doc", "at").distinct()
+    rows = cut(held.mapInArrow(_probes(schema, span, how), f"doc long, at int, mark int, c long, f {kind}"))
+    flagged = split_join(rows, shared_keys(rows.where("f is not null"), "f"), "f", "left", "fways")
+    core = shared_keys(rows.where("mark >= 0"), "c").select("c", "ways", F.lit(True).alias("cs"))
+    flagged = split_join(flagged, core, "c", "left").select("doc", "at", "mark", "c", "ways", F.col("lo").isNotNull().alias("fs"), _peer().alias("peer"), F.coalesce("cs", F.lit(False)).alias("cs"))
+    flagged = cut(flagged.where("fs or cs"))
+    by_mark = Window.partitionBy("doc", "mark").orderBy("at")
+    settled = F.col("fs") & F.coalesce(F.lag("fs").over(by_mark) & (F.lag("at").over(by_mark) == F.col("at") - GRID), F.lit(False))
+    blocks = cut(flagged.where("mark >= 0 and cs").select("doc", "at", "c", "ways", (~settled).alias("open")))
+    opened = split_join(blocks.select("doc", "at", "c", "ways"), blocks.where("open").groupBy("c").agg(F.max("ways").alias("ways")), "c").select("doc", "at").distinct()
     places = cut(opened.groupBy("doc").agg(F.collect_list("at").alias("places")))
-    schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("h", pa.int64())])
+    schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("h", arrow)])
     held = prefilter(docs, places).join(places, "doc").select("doc", "text", "places")
-    between = cut(held.mapInArrow(_between(schema, span), "doc long, at int, h long"))
-    return found.unionByName(between.join(in_two(between), "h", "left_semi").select("doc", "at")).distinct()
+    between = cut(held.mapInArrow(_between(schema, span, how), f"doc long, at int, h {kind}"))
+    more = split_join(between, shared_keys(between, "h"), "h").select("doc", "at", _peer().alias("peer"))
+    every = cut(flagged.where("fs").select("doc", "at", "peer").unionByName(more).groupBy("doc", "at").agg(F.min("peer").alias("peer")))
+    discard(each, rows, flagged, blocks, places, between)
+    return every
+
+
+def unequal(docs: DataFrame, found: DataFrame, span: int) -> bool:
+    """Whether any stretch of ``found`` differs from the one its peers' coordinates name: texts are compared, letter for letter.
+
+    Windows that go on side by side in the same two documents are one stretch. All stretches that name one place of one
+    document must be equal to it, which an aggregate tells that keeps the least and the greatest text; so a stretch travels
+    once for each document, and a popular one is combined before.
+    """
+    beside = Window.partitionBy("doc", "pdoc", "_diagonal").orderBy("at")
+    rows = found.select("doc", "at", F.col("peer.doc").alias("pdoc"), (F.col("at") - F.col("peer.at")).alias("_diagonal"))
+    rows = rows.withColumn("_s", F.sum(F.when(F.col("at") - F.lag("at").over(beside) <= span, 0).otherwise(1)).over(beside))
+    runs = rows.groupBy("doc", "pdoc", "_diagonal", "_s").agg(F.min("at").alias("low"), (F.max("at") - F.min("at") + F.lit(span)).alias("size"))
+    runs = cut(runs.select("doc", "low", "size", "pdoc", (F.col("low") - F.col("_diagonal")).alias("plow")))
+    wanted = runs.unionByName(runs.select(F.col("pdoc").alias("doc"), F.col("plow").alias("low"), "size", "pdoc", "plow")).distinct()
+    lists = cut(wanted.groupBy("doc").agg(F.collect_list(F.struct("low", "size", "pdoc", "plow")).alias("wanted")))
+    schema = pa.schema([("pdoc", pa.int64()), ("plow", pa.int32()), ("size", pa.int32()), ("piece", pa.binary())])
+    held = prefilter(docs, lists).join(lists, "doc").select("doc", "text", "wanted")
+    pieces = held.mapInArrow(_pieces(schema), "pdoc long, plow int, size int, piece binary")
+    same = pieces.groupBy("pdoc", "plow", "size").agg(F.min("piece").alias("a"), F.max("piece").alias("b"))
+    differs = not same.where("a <> b").isEmpty()
+    discard(runs, lists)
+    return differs
 
 
 def islands(rows: DataFrame, reach: int) -> DataFrame:
@@ -340,27 +465,40 @@ def unsettled(spans: DataFrame, found: DataFrame, span: int) -> DataFrame:
     return rows.where("low <= high").distinct()
 
 
-def shared_stretches(documents: DataFrame, row_id: str, text: str, span: int = SPAN) -> DataFrame:
+def shared_stretches(documents: DataFrame, row_id: str, text: str, span: int = SPAN, seed: int = 0, bits: int = 64) -> DataFrame:
     """(doc, first, last): disjoint stretches of characters (0-based, closed) that lie in a window of ``span`` characters shared with another document.
 
     A document is a row id; rows of one id with different texts count as one document, and rows with a null id
-    or text do not count. Texts shorter than ``span`` share nothing. Exact copies share all they have.
+    or text do not count. Texts shorter than ``span`` share nothing. Exact
+    copies share all they have. ``seed`` and ``bits`` of the hashes change which texts are compared, never the result.
     """
     if span < SPAN:
         raise ValueError(f"spans below {SPAN} characters need smaller k-mers")
     docs = documents.select(F.col(row_id).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= span))
-    all_kmers = cut(kmers(docs))
-    edges = cut(all_kmers.join(in_two(all_kmers), "h", "left_semi").select("doc", "ordinal", "at", "h"))
+    found = _found(docs, span, Hashing(seed, bits))
+    if unequal(docs, found, span):
+        found = _found(docs, span, Hashing(seed, bits, by_text=True))
+    return islands(found, span).select("doc", F.col("low").alias("first"), (F.col("high") + span - 1).alias("last"))
+
+
+def _found(docs: DataFrame, span: int, how: Hashing) -> DataFrame:
+    """(doc, at, peer) of windows in two documents, as far as ``how`` tells them apart; their union is all that is shared."""
+    all_kmers = cut(kmers(docs, how))
+    edges = cut(split_join(all_kmers, shared_keys(all_kmers, "h").select("h", "ways"), "h").select("doc", "ordinal", "at", "h", "ways"))
+    discard(all_kmers)
     spans = cut(candidate_spans(edges))
-    ends = spans.select(F.explode(F.array("h_low", "h_high")).alias("h")).distinct()
-    found = cut(shared_windows(docs, edges.join(ends, "h", "left_semi"), spans, span))
+    ways = edges.groupBy("h").agg(F.max("ways").alias("ways"))
+    ends = spans.select(F.explode(F.array("h_low", "h_high")).alias("h")).distinct().join(ways, "h")
+    found = shared_windows(docs, split_join(edges, ends, "h"), spans, span, how)
     rest = cut(unsettled(spans, found, span))
-    if rest.limit(1).count():
+    if not rest.isEmpty():
         per = rest.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("x"))
         within = F.exists("x", lambda r: (F.col("at") >= r["low"]) & (F.col("at") <= r["high"] + F.lit(span - KMER)))
-        marked = edges.join(per, "doc").where(within).select("h").distinct()
-        found = found.unionByName(shared_windows(docs, edges.join(marked, "h", "left_semi"), None, span)).distinct()
-    return islands(found, span).select("doc", F.col("low").alias("first"), (F.col("high") + span - 1).alias("last"))
+        marked = edges.join(per, "doc").where(within).groupBy("h").agg(F.max("ways").alias("ways"))
+        more = shared_windows(docs, split_join(edges, marked, "h"), None, span, how)
+        found = cut(found.unionByName(more).groupBy("doc", "at").agg(F.min("peer").alias("peer")))
+    discard(edges, spans, rest)
+    return found
 
 
 def shared_characters(documents: DataFrame, row_id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:

@@ -79,10 +79,48 @@ def test_kept_kmers_are_local():
 def test_paths_are_compacted(spark):
     # Two documents run along a b c d e, a third leaves after c: a-b-c and d-e are paths.
     runs = {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 5], 3: [1, 2, 3, 9], 4: [9, 8], 5: [9, 8]}
-    rows = [(d, i, i * 10, h) for d, hs in runs.items() for i, h in enumerate(hs)]
-    heads = {r.h: r.head for r in S.compact(spark.createDataFrame(rows, "doc long, ordinal int, at int, h long")).collect()}
+    rows = [(d, i, i * 10, h, 1 + h % 2) for d, hs in runs.items() for i, h in enumerate(hs)]
+    heads = {r.h: r.head for r in S.compact(spark.createDataFrame(rows, "doc long, ordinal int, at int, h long, ways int")).collect()}
     assert heads[1] == heads[2] == heads[3] and heads[4] == heads[5] != heads[1]
     assert heads[9] == heads[8] != heads[4]
     # A closed path ends too.
-    loop = [(d, i, i, 1 + i % 3) for d in (1, 2) for i in range(9)]
-    assert S.compact(spark.createDataFrame(loop, "doc long, ordinal int, at int, h long")).count() == 3
+    loop = [(d, i, i, 1 + i % 3, 1) for d in (1, 2) for i in range(9)]
+    assert S.compact(spark.createDataFrame(loop, "doc long, ordinal int, at int, h long, ways int")).count() == 3
+
+
+def test_hashes_decide_nothing(spark):
+    """With few bits nearly all windows collide; texts are compared, so the result is the same."""
+    docs = corpus(2)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = plain(docs)
+    for seed, bits in ((5, 64), (0, 10)):
+        rows = S.shared_stretches(df, "doc_id", "text", seed=seed, bits=bits).collect()
+        got = {}
+        for r in rows:
+            got[r.doc] = got.get(r.doc, 0) + r.last - r.first + 1
+        assert got == want
+
+
+def test_texts_that_collide(spark):
+    """A sequence and its complement have one polynomial hash modulo 2^64 at this length, whatever the base."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    t = S.Texts([morse, other])
+    assert len(set(t.hashes(t.starts[:2], 1024).tolist())) == 1
+    found = spark.createDataFrame([(1, 0, (2, 0)), (2, 0, (1, 0))], "doc long, at int, peer struct<doc:long,at:int>")
+    docs = spark.createDataFrame([(1, morse), (2, other)], "doc long, text string")
+    assert S.unequal(docs, S.cut(found), 1024)
+    assert not S.unequal(docs.withColumn("text", S.F.lit(morse)), S.cut(found), 1024)
+    df = docs.withColumnRenamed("doc", "doc_id")
+    assert S.shared_characters(df, span=1024).count() == 0
+
+
+def test_popular_passages_are_split(spark):
+    """Rows of a key that most documents share are met in parts, and each row still meets its key once."""
+    rows = S.cut(spark.range(60_000).selectExpr("id as doc", "cast(id % 7 as int) as at", "case when id % 3 < 2 then 1 else id end as h").unionByName(spark.range(60_000).selectExpr("id + 1 as doc", "cast(0 as int) as at", "case when id % 3 < 2 then 2 else id end as h")))
+    keys = S.shared_keys(rows, "h")
+    ways = {r.h: r.ways for r in keys.where("ways > 1").collect()}
+    assert set(ways) == {1, 2} and min(ways.values()) >= 4
+    joined = S.split_join(rows, keys, "h")
+    assert joined.where("h <= 2").count() == 80_002 and joined.count() == rows.join(keys, "h").count()
+    assert S.split_join(rows, keys, "h", "left").count() == rows.count()
