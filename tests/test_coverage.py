@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from axisframe.operators.coverage import merge_disjoint, periods_and_gaps
+from axisframe.operators.coverage import merge_states, periods_and_gaps, sorted_run
 
 
 def plain(intervals):
@@ -23,10 +23,10 @@ def plain(intervals):
 def test_merge_is_a_monoid(rows):
     rows = [(g, s, s + n) for g, s, n in rows]
     cols = lambda r: [np.array([x[i] for x in r], np.int64) for i in range(3)]
-    whole = merge_disjoint(*cols(rows))
-    a, b = merge_disjoint(*cols(rows[::2])), merge_disjoint(*cols(rows[1::2]))
-    parts = merge_disjoint(*(np.concatenate(x) for x in zip(b, a)))
-    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+    whole = sorted_run(*cols(rows))
+    a, b, c = (sorted_run(*cols(rows[i::3])) for i in range(3))
+    for parts in (merge_states(merge_states(a, b), c), merge_states(a, merge_states(b, c)), merge_states(c, merge_states(b, a))):
+        assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
     want = sorted((g, *p[1:]) for g in range(4) for p in plain([(s, e) for h, s, e in rows if h == g]) if p[0] == "period")
     assert sorted(zip(*(x.tolist() for x in whole))) == want
 
@@ -40,8 +40,8 @@ def test_blocks_are_stitched(spark):
     dirty = [(None, "+", 1, 2, "x"), ("a", None, 1, 2, "x"), ("a", "+", None, 2, "x"), ("a", "+", 1, None, "x"), ("a", "+", 9, 3, "x")]
     df = spark.createDataFrame(rows + rows[::7] + dirty, "reference string, strand string, start long, stop long, kind string")
     want = sorted((k, *p) for k in "abc" for p in plain([r[2:4] for r in rows if r[0] == k]))
-    for block in (16, 128, 1 << 20):
-        got = periods_and_gaps(df, ["reference", "strand"], block=block).collect()
+    for block, fan_in in ((16, 64), (128, 2), (1 << 20, 2)):  # 2: an upper level of the tree on four cores
+        got = periods_and_gaps(df.repartition(6), ["reference", "strand"], block=block, fan_in=fan_in).collect()
         assert sorted((r.reference, r.kind, r.first_pos, r.last_pos) for r in got) == want
     assert periods_and_gaps(df.limit(0), ["reference", "strand"]).count() == 0
 
