@@ -4,18 +4,21 @@ Records of one key are points on a line; two are similar when at most ``radius``
 node with a weight. Nodes are cut into blocks of the axis, each with the ``radius`` beyond its end, so every
 task holds at most ``BLOCK`` + ``radius`` nodes of a key, however many records there are.
 
-1. Neighbour graph by neighbour descent: every node keeps its ``K`` nearest on either side (two-sided, so a dense
-   side cannot crowd out the only link across a gap) and improves them by its neighbours' neighbours until
-   nothing changes. Nodes start from their projection order, which on a line is already best: one round confirms it.
-2. Graph edges that lie in a common group of ``members`` mutually similar records stay.
-3. Communities by modularity: every community joins the neighbour that gains most,
-   ``w / W - resolution * d1 * d2 / (2 W^2)``, all at once, the graph is contracted, until no move gains. With
-   resolution 0 that ends in the components of the graph, that is, in the exact clusters of linked groups.
-4. Communities are described by size, extent and the member of highest internal weighted degree, similarity
-   being the extent less the distance: the member with the least total distance.
-
-Communities that reach a block's edge are joined across blocks by the interval union of the core, and only they
-are described from their nodes once more.
+1. Neighbour graph by neighbour descent: nodes start from a poor guess, others of the same coarse cells of the axis in
+   scrambled order, and improve their nearest ``members - 1`` on either side (two-sided, so a dense side cannot
+   crowd out the only link across a gap) by their neighbours' neighbours, until nothing changes. A check then
+   adds the next node wherever it is not among a node's neighbours, and descent goes on; on a line that makes it exact.
+2. Which nodes begin a group of ``members`` mutually similar records, which edges lie in such a group and which nodes
+   are in any is read off the graph: ``members - 1`` neighbours on a side are all it takes.
+3. Communities by modularity, w / W - resolution * d1 * d2 / (2 W^2): every community joins the neighbour that gains most
+   if that one chooses it too, the graph is contracted, until no move gains.
+4. An exact check joins communities that share a group, as a cluster is all that hangs together by shared records;
+   modularity alone would cut long ones.
+5. Clusters are described by size, extent and the member of highest internal weighted degree, the similarity of
+   two members being the extent less their distance, summed over all members by prefix sums.
+
+Clusters that reach a block's edge are joined across blocks by the interval union of the core, and only they
+are described from their nodes once more, so results do not depend on the blocks.
 """
 
 from __future__ import annotations
@@ -34,50 +37,82 @@ from axisframe.session import cut, ship, shuffle_partitions
 
 #: Positions per block.
 BLOCK = 1 << 16
-#: Neighbours kept on either side.
-K = 4
+#: Nodes whose candidates are compared at once.
+ROWS = 1 << 15
 #: Nodes a task gathers before it works on them.
 BATCH_NODES = 1 << 16
 
 
-def neighbour_descent(group: np.ndarray, at: np.ndarray, k: int = K, start: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-    """Indices of the k nearest nodes of the same group to the left and to the right (-1: none), and the rounds it took.
+_FAR = np.iinfo(np.int64).max
 
-    ``start`` is a first guess of shape (nodes, 2 k), by default the projection order; a poor guess only
-    costs rounds.
-    """
+
+def scrambled(group: np.ndarray, at: np.ndarray, cell: int, k: int) -> np.ndarray:
+    """A poor first guess of shape (nodes, 4 k): nodes beside each other in two orders by coarse cell and, within, by a hash."""
     n = len(at)
-    if start is None:
-        order = np.lexsort((at, group))
+    mixed = (at.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    out = []
+    for shift in (0, cell // 2):
+        order = np.lexsort((mixed, (at + shift) // cell, group))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
-        steps = np.concatenate([np.arange(-1, -k - 1, -1), np.arange(1, k + 1)])
-        guess = place[:, None] + steps
-        graph = np.where((guess >= 0) & (guess < n), order[np.clip(guess, 0, max(n - 1, 0))], -1) if n else np.zeros((0, 2 * k), np.int64)
-    else:
-        graph = start.copy()
-    graph = np.where((graph >= 0) & (group[np.maximum(graph, 0)] == group[:, None]), graph, -1)
-    rounds = 0
-    while True:
+        for step in [*range(-k, 0), *range(1, k + 1)]:
+            other = place + step
+            out.append(np.where((other >= 0) & (other < n), order[np.clip(other, 0, max(n - 1, 0))] if n else other, -1))
+    return np.stack(out, axis=1) if n else np.zeros((0, 4 * k), np.int64)
+
+
+def _nearest(group: np.ndarray, at: np.ndarray, rows: np.ndarray, candidates: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest candidates of ``rows`` on either side; ``candidates`` is (candidates, rows), -1 for none."""
+    out = np.full((2 * k, len(rows)), -1, np.int64)
+    some = np.maximum(candidates, 0)
+    distance = at[some] - at[rows]
+    fits = (candidates >= 0) & (group[some] == group[rows])
+    for side, away in ((0, -distance), (k, distance)):
+        # Distance and number in one value; the least is taken k times, all copies of it at once.
+        packed = np.where(fits & (away > 0), away << 32 | some, _FAR)
+        for i in range(k):
+            least = packed.min(axis=0)
+            found = least < _FAR
+            if not found.any():
+                break
+            out[side + i] = np.where(found, least & 0xFFFFFFFF, -1)
+            packed[packed == least] = _FAR
+    return out
+
+
+def neighbour_descent(group: np.ndarray, at: np.ndarray, k: int, start: np.ndarray, check: bool = True) -> tuple[np.ndarray, int]:
+    """Indices of the k nearest nodes of the same group to the left and to the right (-1: none), and the rounds it took.
+
+    Nodes are sorted by (group, at) and distinct. ``start`` holds candidates for each node, however poor. Only nodes that
+    saw a change among their neighbours are looked at again. ``check`` adds the next node on either side where it is
+    missing and goes on; the result is then exact.
+    """
+    n = len(at)
+    graph = np.full((2 * k, n), -1, np.int64)
+    extra = start.T
+    active, rounds, checked = np.arange(n), 0, False
+    while len(active):
         rounds += 1
-        # Candidates: own neighbours and theirs, side by side; nearest k of each side stay.
-        reach = graph[np.maximum(graph, 0)].reshape(n, -1)
-        reach = np.where(np.repeat(graph >= 0, 2 * k, axis=1), reach, -1)
-        candidates = np.concatenate([graph, reach], axis=1)
-        distance = np.where(candidates >= 0, at[np.maximum(candidates, 0)] - at[:, None], 0)
-        better = np.full_like(graph, -1)
-        for side, sign in ((0, -1), (1, 1)):
-            away = np.where(distance * sign > 0, distance * sign, np.iinfo(np.int64).max)
-            by = np.argsort(away, axis=1, kind="stable")
-            chosen, far = np.take_along_axis(candidates, by, 1), np.take_along_axis(away, by, 1)
-            fresh = far < np.iinfo(np.int64).max
-            fresh[:, 1:] &= far[:, 1:] != far[:, :-1]  # nodes are distinct, so equal distance means the same node
-            rank = np.cumsum(fresh, axis=1) - 1
-            row, column = np.nonzero(fresh & (rank < k))
-            better[row, side * k + rank[row, column]] = chosen[row, column]
-        if np.array_equal(np.where(better >= 0, at[np.maximum(better, 0)], -1), np.where(graph >= 0, at[np.maximum(graph, 0)], -1)):
-            return better, rounds
-        graph = better
+        better = graph.copy()
+        for low in range(0, len(active), ROWS):
+            rows = active[low : low + ROWS]
+            own = graph[:, rows]
+            theirs = np.where(own >= 0, graph[:, np.maximum(own, 0)], -1).reshape(-1, len(rows))
+            parts = [own, theirs] if extra is None else [own, theirs, extra[:, rows]]
+            better[:, rows] = _nearest(group, at, rows, np.concatenate(parts), k)
+        changed = (better != graph).any(axis=0)
+        graph, extra = better, None
+        touched = changed | (changed[np.maximum(graph, 0)] & (graph >= 0)).any(axis=0)
+        active = np.flatnonzero(touched)
+        if not len(active) and check and not checked and n > 1:
+            beside = np.flatnonzero(group[1:] == group[:-1])
+            missed = np.zeros((2, n), bool)
+            missed[1, beside] = graph[k, beside] != beside + 1
+            missed[0, beside + 1] = graph[0, beside + 1] != beside
+            extra = np.where(missed, np.arange(n) + np.array([[-1], [1]]), -1)
+            active, checked = np.flatnonzero(missed.any(axis=0)), True
+    return graph.T, rounds
 
 
 def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, graph: np.ndarray | None = None) -> np.ndarray:
@@ -95,10 +130,12 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
         if not good.any():
             break
         src, dst, g = np.concatenate([a[good], b[good]]), np.concatenate([b[good], a[good]]), np.concatenate([gain[good]] * 2)
-        order = np.lexsort((dst, -g, src))
-        first = np.append(True, src[order][1:] != src[order][:-1])
-        to = np.arange(n)
-        to[src[order][first]] = dst[order][first]
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, src, g)
+        top = g == best[src]
+        to = np.full(n, n)
+        np.minimum.at(to, src[top], dst[top])
+        to = np.where(to < n, to, np.arange(n))
         # With a positive resolution only mutual choices merge, so that no chain outgrows its gain; each round merges
         # at least the pair of greatest gain. Without one every choice may be followed.
         if resolution > 0:
@@ -121,31 +158,36 @@ def modularity_communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray,
     return label
 
 
-def linked_edges(group: np.ndarray, at: np.ndarray, count: np.ndarray, graph: np.ndarray, radius: int, members: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Communities with those that an edge links made one."""
+    names, small = np.unique(label, return_inverse=True)
+    x, y = small[a], small[b]
+    apart = x != y
+    return modularity_communities(len(names), x[apart], y[apart], np.ones(int(apart.sum())), 0.0)[small]
+
+
+def linked_edges(at: np.ndarray, count: np.ndarray, graph: np.ndarray, radius: int, members: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges of the neighbour graph whose ends lie in a common group of mutually similar records, and the nodes in any.
 
-    Input sorted by (group, at). A group of ``members`` records within ``radius`` that begins at node i is
-    contained in the stretch from i to the last node within ``radius`` of it.
+    ``graph`` holds ``members - 1`` neighbours on either side, or more. A group begins at a node if it and its right
+    neighbours within the radius are ``members`` records; it reaches as far as the radius. If any group holds two nodes,
+    one does that begins at the first of them or at one of its left neighbours.
     """
-    n = len(at)
-    # One coordinate for all groups: groups lie further apart than the radius.
-    head = np.append(True, group[1:] != group[:-1])
-    step = np.diff(at, prepend=at[:1])
-    step = np.where(head, radius + 1, np.minimum(step, radius + 1))
-    line = np.cumsum(step)
-    until = np.searchsorted(line, line + radius, "right") - 1
-    upto = np.cumsum(count)
-    dense = upto[until] - upto + count >= members
-    reach = np.maximum.accumulate(np.where(dense, until, -1))
-    inside = reach >= np.arange(n)
-    a = np.repeat(np.arange(n), graph.shape[1] // 2)
-    b = graph[:, graph.shape[1] // 2 :].ravel()
-    keep = (b >= 0) & (b <= reach[a]) & (b > a)
-    return a[keep], b[keep], inside
+    k = graph.shape[1] // 2
+    left, right = graph[:, :k], graph[:, k:]
+    near = (right >= 0) & (at[np.maximum(right, 0)] - at[:, None] <= radius)
+    begins = count + np.where(near, count[np.maximum(right, 0)], 0).sum(axis=1) >= members
+    none = np.iinfo(np.int64).min
+    until = np.where(begins, at + radius, none)
+    before = np.where((left >= 0) & begins[np.maximum(left, 0)], at[np.maximum(left, 0)] + radius, none)
+    until = np.maximum(until, before.max(axis=1, initial=none))
+    keep = (right >= 0) & (at[np.maximum(right, 0)] <= until[:, None])
+    a, column = np.nonzero(keep)
+    return a, right[a, column], until >= at
 
 
 def _cluster(keys: list[str], schema: pa.Schema, radius: int, members: int, resolution: float, block: int):
-    """Nodes (keys, _block, _at, _n, _own) to communities: complete ones described, others as their own nodes."""
+    """Nodes (keys, _block, _at, _n) to clusters: complete ones described, others as their own nodes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = [*keys, "_block"]
@@ -153,10 +195,11 @@ def _cluster(keys: list[str], schema: pa.Schema, radius: int, members: int, reso
             code = group_codes(t, groups)
             at, count = np.asarray(t.column("_at").combine_chunks()), np.asarray(t.column("_n").combine_chunks())
             number = np.asarray(t.column("_block").combine_chunks())
-            graph, _ = neighbour_descent(code, at)
-            a, b, inside = linked_edges(code, at, count, graph, radius, members)
+            k = max(1, members - 1)
+            graph, _ = neighbour_descent(code, at, k, scrambled(code, at, radius + 1, k))
+            a, b, inside = linked_edges(at, count, graph, radius, members)
             similarity = radius + 1.0 - (at[b] - at[a])
-            label = modularity_communities(len(at), a, b, similarity * count[a] * count[b], resolution, code)
+            label = joined(modularity_communities(len(at), a, b, similarity * count[a] * count[b], resolution, code), a, b)
             chosen = np.flatnonzero(inside)
             if not len(chosen):
                 continue
@@ -168,45 +211,69 @@ def _cluster(keys: list[str], schema: pa.Schema, radius: int, members: int, reso
             last = first + size - 1
             low, high, where = at[order[first]], at[order[last]], number[order[first]]
             whole = (low >= where * block + radius) & (high < (where + 1) * block)
-            upto = np.cumsum(count[order])
-            before = upto[first] - count[order[first]]
-            n = upto[last] - before
-            # Least total distance, smallest if several: the lower weighted median.
-            middle = order[np.searchsorted(upto, before + (n + 1) // 2)]
+            of = np.repeat(np.arange(len(first)), size)
+            degree, n = weighted_degrees(at[order], count[order], first, size)
+            best = np.flatnonzero(degree == np.maximum.reduceat(degree, first)[of])
+            typical = order[best[np.unique(of[best], return_index=True)[1]]]
             # Nodes beyond the block's end too: they may be members only because of nodes of this block.
-            edge = np.flatnonzero(np.repeat(~whole, size))
-            spans = np.repeat(np.arange(len(first)), size)[edge]
+            edge = np.flatnonzero(~whole[of])
+            spans = of[edge]
             done = np.flatnonzero(whole)
             rows = np.concatenate([order[first[done]], order[edge]])
             columns = [t.column(k).combine_chunks().take(pa.array(rows)) for k in keys]
             columns += [pa.array(np.concatenate(x)) for x in (
-                (low[done], low[spans]), (high[done], high[spans]), (n[done], count[order[edge]]), (at[middle[done]], at[order[edge]]), (np.ones(len(done), bool), np.zeros(len(edge), bool)),
+                (low[done], low[spans]), (high[done], high[spans]), (n[done], count[order[edge]]), (at[typical[done]], at[order[edge]]), (np.ones(len(done), bool), np.zeros(len(edge), bool)),
             )]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
-def _medoids(nodes: DataFrame, by: list[str], block: int) -> DataFrame:
-    """Sum of ``_n`` and lower weighted median of ``_at`` of each cluster, without a whole cluster in one task."""
-    parts = nodes.groupBy(*by, F.floor(F.col("_at") / F.lit(block)).alias("_b")).agg(F.sum("_n").alias("_c"))
-    axis = Window.partitionBy(*by).orderBy("_b")
-    parts = parts.withColumns({"_before": F.sum("_c").over(axis) - F.col("_c"), "_all": F.sum("_c").over(Window.partitionBy(*by))})
-    parts = parts.withColumn("_want", F.expr("(_all + 1) div 2")).where("_want > _before and _want <= _before + _c")
-    held = nodes.withColumn("_b", F.floor(F.col("_at") / F.lit(block))).join(parts, [*by, "_b"])
+def weighted_degrees(at: np.ndarray, count: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Internal weighted degree of each node of clusters laid end to end (sorted by ``at``), and the records of each cluster.
+
+    The similarity of two records is the extent of their cluster and one, less their distance; the degree of a record is the
+    sum over all others of its cluster, found by prefix sums, as pairs are never laid out.
+    """
+    of = np.repeat(np.arange(len(first)), size)
+    x = at - at[first][of]
+    upto, sums = np.cumsum(count), np.cumsum(count * x)
+    base, base_sum = (upto[first] - count[first])[of], (sums[first] - count[first] * x[first])[of]
+    last = (first + size - 1)[of]
+    p, s, n, total = upto - base, sums - base_sum, upto[last] - base, sums[last] - base_sum
+    distance = x * (2 * p - n) + total - 2 * s
+    extent = x[last] + 1
+    return (n - 1) * extent - distance, n[first]
+
+
+def _described(nodes: DataFrame, by: list[str], block: int) -> DataFrame:
+    """Size and member of highest internal weighted degree of each cluster (``first`` .. ``last``), without a whole cluster in one task.
+
+    The same prefix sums in two levels: of blocks along a cluster, and of nodes within a block.
+    """
+    exact = lambda c: F.col(c).cast("decimal(38,0)")
+    nodes = nodes.withColumn("_x", exact("_at") - exact("first")).withColumn("_b", F.floor(F.col("_at") / F.lit(block)))
+    nodes = nodes.withColumn("_nx", (F.col("_x") * F.col("_n")).cast("decimal(38,0)"))
+    parts = nodes.groupBy(*by, "_b").agg(F.sum("_n").alias("_c"), F.sum("_nx").cast("decimal(38,0)").alias("_s"))
+    axis, all_ = Window.partitionBy(*by).orderBy("_b"), Window.partitionBy(*by)
+    parts = parts.select(*by, "_b", (F.sum("_c").over(axis) - F.col("_c")).alias("_pc"), (F.sum("_s").over(axis) - F.col("_s")).cast("decimal(38,0)").alias("_ps"), F.sum("_c").over(all_).alias("_all"), F.sum("_s").over(all_).cast("decimal(38,0)").alias("_total"))
     inner = Window.partitionBy(*by, "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = held.withColumn("_upto", F.col("_before") + F.sum("_n").over(inner))
-    return held.where(F.col("_upto") >= F.col("_want")).groupBy(*by).agg(F.max("_all").alias("n"), F.min("_at").alias("typical"))
+    held = nodes.join(parts, [*by, "_b"])
+    p, s = F.col("_pc") + F.sum("_n").over(inner), F.col("_ps") + F.sum("_nx").over(inner)
+    held = held.withColumn("_distance", (F.col("_x") * (2 * p - F.col("_all")) + F.col("_total") - 2 * s).cast("decimal(38,0)"))
+    # The degree is a constant of the cluster less the total distance.
+    return held.groupBy(*by).agg(F.max("_all").alias("n"), F.min_by("_at", F.struct("_distance", "_at")).alias("typical"))
 
 
-def similarity_clusters(records: DataFrame, keys: list[str], value: str, row_id: str, radius: int, members: int, resolution: float = 0.0, block: int = BLOCK) -> DataFrame:
+def similarity_clusters(records: DataFrame, keys: list[str], value: str, row_id: str, radius: int, members: int, resolution: float = 1.0, block: int = BLOCK) -> DataFrame:
     """(keys, ``first``, ``last``, ``n``, ``typical``): clusters of similar records.
 
     Rows with a null key or value do not count; a row id delivered again counts once, a null id is an id of
-    its own. With ``resolution`` 0 a cluster is a largest set made of groups of ``members`` records, any two of
+    its own. A cluster is a largest set made of groups of ``members`` records, any two of
     which differ by at most ``radius``, that hang together by shared records. ``typical`` is the member with the
     least total distance to the others, the smallest if several. An empty table has no clusters.
-    With a positive resolution communities may be cut within a linked set; their edges then depend on blocks.
+    ``resolution`` is that of the modularity communities, which the exact check joins where they share a group;
+    neither it nor ``block`` changes the result.
     """
     ship(records.sparkSession)
     names = [f"_k{i}" for i in range(len(keys))]
@@ -239,6 +306,7 @@ def similarity_clusters(records: DataFrame, keys: list[str], value: str, row_id:
     carry = F.last("_lastin", ignorenulls=True).over(Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select(*names, "_b", carry.alias("_carry"))
     members_of = marked.where("_n is not null").join(blocks, [*names, "_b"]).withColumn("_c", F.coalesce("_in", "_carry"))
-    described = _medoids(members_of.select(*names, F.col("_c.first").alias("first"), F.col("_c.last").alias("last"), "_at", "_n"), [*names, "first", "last"], block)
+    held = members_of.select(*names, F.col("_c.first").alias("first"), F.col("_c.last").alias("last"), "_at", "_n")
+    described = _described(held, [*names, "first", "last"], block)
     every = whole.unionByName(described.select(*names, "first", "last", "n", "typical"))
     return every.select(*(F.col(c).alias(k) for c, k in zip(names, keys)), "first", "last", "n", "typical")
