@@ -289,17 +289,18 @@ def kmers(docs: DataFrame, how: Hashing = Hashing()) -> DataFrame:
     return docs.mapInArrow(_kmers(schema, how), "doc long, ordinal int, at int, h long")
 
 
-def shared_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key, lo, hi, ways) of the values of ``key`` in two documents at least; lo and hi are (doc, at) of the first and last.
+def shared_keys(rows: DataFrame, key: str, places: bool = False) -> DataFrame:
+    """(key, ways) of the values of ``key`` in two documents at least; with ``places`` also lo_doc, lo_at, hi_doc, hi_at: where it stands in the first and the last.
 
-    Aggregated map-side, so no hot value gathers. ``ways`` is in how many parts, by document, the rows of a value
-    are to be worked on: more than one for fewer than four values a partition, however the rows are spread.
+    Aggregated map-side in fixed-width buffers, so no hot value gathers and nothing is sorted. ``ways`` is in how many
+    parts, by document, the rows of a value are to be worked on: more than one for fewer than four values a
+    partition, however the rows are spread.
     """
-    place = F.struct("doc", "at")
-    each = rows.groupBy(key).agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo.doc < hi.doc")
-    each = cut(each)
+    found = [F.min_by("at", "doc").alias("lo_at"), F.max_by("at", "doc").alias("hi_at")] if places else []
+    each = rows.groupBy(key).agg(F.min("doc").alias("lo_doc"), F.max("doc").alias("hi_doc"), F.count(F.lit(1)).alias("_n"), *found).where("lo_doc < hi_doc")
+    each = cut(each if places else each.select(key, "_n"))
     share = each.agg(F.greatest(F.lit(WHOLE), F.sum("_n") / (4 * shuffle_partitions(rows.sparkSession))).alias("x")).scalar()
-    return each.select(key, "lo", "hi", F.greatest(F.lit(1), F.ceil(F.col("_n") / share)).cast("int").alias("ways"))
+    return each.withColumn("ways", F.greatest(F.lit(1), F.ceil(F.col("_n") / share)).cast("int")).drop("_n")
 
 
 def split_join(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner", ways: str = "ways") -> DataFrame:
@@ -377,13 +378,19 @@ def prefilter(docs: DataFrame, ids: DataFrame, key: str = "doc") -> DataFrame:
     return tested.where(F.getbit(byte, F.expr("cast(_b % 8 as int)")) == 1).select(*docs.columns)
 
 
-def _peer(lo: str = "lo", hi: str = "hi") -> Column:
+def _peer() -> list[Column]:
     """The place of a window in another document: the first, or for the first document itself the last."""
-    return F.when(F.col(f"{lo}.doc") != F.col("doc"), F.col(lo)).otherwise(F.col(hi))
+    other = F.col("lo_doc") != F.col("doc")
+    return [F.when(other, F.col(f"lo_{c}")).otherwise(F.col(f"hi_{c}")).alias(f"p{c}") for c in ("doc", "at")]
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """One row for each window."""
+    return rows.groupBy("doc", "at").agg(F.min("pdoc").alias("pdoc"), F.min_by("pat", "pdoc").alias("pat"))
 
 
 def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None, span: int, how: Hashing = Hashing()) -> DataFrame:
-    """(doc, at, peer) of windows that stand in two documents; between successive ones at most GRID apart all are.
+    """(doc, at, pdoc, pat) of windows that stand in two documents; between successive ones at most GRID apart all are.
 
     Which windows are looked at is a matter of the k-mers and the texts around them alone (``marks`` holds all
     occurrences of the marked ones), so a window is looked at in every document it stands in, or in none: a
@@ -402,9 +409,9 @@ def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None,
     schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("mark", pa.int32()), ("c", pa.int64()), ("f", arrow)])
     held = prefilter(docs, each).join(each, "doc").select("doc", "text", "lows", "highs", "marks")
     rows = cut(held.mapInArrow(_probes(schema, span, how), f"doc long, at int, mark int, c long, f {kind}"))
-    flagged = split_join(rows, shared_keys(rows.where("f is not null"), "f"), "f", "left", "fways")
-    core = shared_keys(rows.where("mark >= 0"), "c").select("c", "ways", F.lit(True).alias("cs"))
-    flagged = split_join(flagged, core, "c", "left").select("doc", "at", "mark", "c", "ways", F.col("lo").isNotNull().alias("fs"), _peer().alias("peer"), F.coalesce("cs", F.lit(False)).alias("cs"))
+    flagged = split_join(rows, shared_keys(rows.where("f is not null"), "f", places=True), "f", "left", "fways")
+    core = shared_keys(rows.where("mark >= 0"), "c").withColumn("cs", F.lit(True))
+    flagged = split_join(flagged, core, "c", "left").select("doc", "at", "mark", "c", "ways", F.col("lo_doc").isNotNull().alias("fs"), *_peer(), F.coalesce("cs", F.lit(False)).alias("cs"))
     flagged = cut(flagged.where("fs or cs"))
     by_mark = Window.partitionBy("doc", "mark").orderBy("at")
     settled = F.col("fs") & F.coalesce(F.lag("fs").over(by_mark) & (F.lag("at").over(by_mark) == F.col("at") - GRID), F.lit(False))
@@ -414,8 +421,8 @@ def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None,
     schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("h", arrow)])
     held = prefilter(docs, places).join(places, "doc").select("doc", "text", "places")
     between = cut(held.mapInArrow(_between(schema, span, how), f"doc long, at int, h {kind}"))
-    more = split_join(between, shared_keys(between, "h"), "h").select("doc", "at", _peer().alias("peer"))
-    every = cut(flagged.where("fs").select("doc", "at", "peer").unionByName(more).groupBy("doc", "at").agg(F.min("peer").alias("peer")))
+    more = split_join(between, shared_keys(between, "h", places=True), "h").select("doc", "at", *_peer())
+    every = cut(_once(flagged.where("fs").select("doc", "at", "pdoc", "pat").unionByName(more)))
     discard(each, rows, flagged, blocks, places, between)
     return every
 
@@ -428,7 +435,7 @@ def unequal(docs: DataFrame, found: DataFrame, span: int) -> bool:
     once for each document, and a popular one is combined before.
     """
     beside = Window.partitionBy("doc", "pdoc", "_diagonal").orderBy("at")
-    rows = found.select("doc", "at", F.col("peer.doc").alias("pdoc"), (F.col("at") - F.col("peer.at")).alias("_diagonal"))
+    rows = found.select("doc", "at", "pdoc", (F.col("at") - F.col("pat")).alias("_diagonal"))
     rows = rows.withColumn("_s", F.sum(F.when(F.col("at") - F.lag("at").over(beside) <= span, 0).otherwise(1)).over(beside))
     runs = rows.groupBy("doc", "pdoc", "_diagonal", "_s").agg(F.min("at").alias("low"), (F.max("at") - F.min("at") + F.lit(span)).alias("size"))
     runs = cut(runs.select("doc", "low", "size", "pdoc", (F.col("low") - F.col("_diagonal")).alias("plow")))
@@ -482,9 +489,9 @@ def shared_stretches(documents: DataFrame, row_id: str, text: str, span: int = S
 
 
 def _found(docs: DataFrame, span: int, how: Hashing) -> DataFrame:
-    """(doc, at, peer) of windows in two documents, as far as ``how`` tells them apart; their union is all that is shared."""
+    """(doc, at, pdoc, pat) of windows in two documents, as far as ``how`` tells them apart; their union is all that is shared."""
     all_kmers = cut(kmers(docs, how))
-    edges = cut(split_join(all_kmers, shared_keys(all_kmers, "h").select("h", "ways"), "h").select("doc", "ordinal", "at", "h", "ways"))
+    edges = cut(split_join(all_kmers, shared_keys(all_kmers, "h"), "h").select("doc", "ordinal", "at", "h", "ways"))
     discard(all_kmers)
     spans = cut(candidate_spans(edges))
     ways = edges.groupBy("h").agg(F.max("ways").alias("ways"))
@@ -496,7 +503,7 @@ def _found(docs: DataFrame, span: int, how: Hashing) -> DataFrame:
         within = F.exists("x", lambda r: (F.col("at") >= r["low"]) & (F.col("at") <= r["high"] + F.lit(span - KMER)))
         marked = edges.join(per, "doc").where(within).groupBy("h").agg(F.max("ways").alias("ways"))
         more = shared_windows(docs, split_join(edges, marked, "h"), None, span, how)
-        found = cut(found.unionByName(more).groupBy("doc", "at").agg(F.min("peer").alias("peer")))
+        found = cut(_once(found.unionByName(more)))
     discard(edges, spans, rest)
     return found
 

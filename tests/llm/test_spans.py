@@ -107,7 +107,7 @@ def test_texts_that_collide(spark):
     other = morse.translate(str.maketrans("ab", "ba"))
     t = S.Texts([morse, other])
     assert len(set(t.hashes(t.starts[:2], 1024).tolist())) == 1
-    found = spark.createDataFrame([(1, 0, (2, 0)), (2, 0, (1, 0))], "doc long, at int, peer struct<doc:long,at:int>")
+    found = spark.createDataFrame([(1, 0, 2, 0), (2, 0, 1, 0)], "doc long, at int, pdoc long, pat int")
     docs = spark.createDataFrame([(1, morse), (2, other)], "doc long, text string")
     assert S.unequal(docs, S.cut(found), 1024)
     assert not S.unequal(docs.withColumn("text", S.F.lit(morse)), S.cut(found), 1024)
