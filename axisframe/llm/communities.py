@@ -37,8 +37,8 @@ from axisframe.session import cut, ship, shuffle_partitions
 
 #: Positions per block.
 BLOCK = 1 << 16
-#: Nodes whose candidates are compared at once.
-ROWS = 1 << 15
+#: Nodes whose candidates are compared at once: few enough that their arrays stay in a core's cache.
+ROWS = 1 << 11
 #: Nodes a task gathers before it works on them.
 BATCH_NODES = 1 << 16
 
@@ -77,7 +77,8 @@ def _nearest(group: np.ndarray, at: np.ndarray, rows: np.ndarray, candidates: np
             if not found.any():
                 break
             out[side + i] = np.where(found, least & 0xFFFFFFFF, -1)
-            packed[packed == least] = _FAR
+            if i + 1 < k:
+                np.copyto(packed, _FAR, where=packed == least)
     return out
 
 
