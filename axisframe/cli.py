@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import itertools
+import os
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,72 +16,76 @@ from axisframe.operators.counts import flatten_samples
 from axisframe.operators.extract import MIN_CLIP, tag_reads
 from axisframe.operators.headers import output_order
 from axisframe.plans.fingerprint import PROGRAM, extraction, fingerprint
-from axisframe.sources import bam, gff, sam, sinks
+from axisframe.session import clear, scratch
+from axisframe.sources import alignments, bam, gff, sam, sinks
+from axisframe.sources.files import place
 
 
-def session(cores: int) -> SparkSession:
-    spark = SparkSession.builder.master(f"local[{cores}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+def session(threads: int | None) -> SparkSession:
+    """The session of spark-submit or of the configuration; ``threads`` asks for this machine alone."""
+    builder = SparkSession.builder.config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
+    spark = (builder.master(f"local[{threads}]") if threads else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def load(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Alignments of SAM or BAM files by their extension."""
-    bams = [p for p in paths if p.endswith(".bam")]
-    rest = [p for p in paths if not p.endswith(".bam")]
-    frames = [sam.read_sam(spark, *rest)] if rest else []
-    if bams:
-        bam.register(spark)
-        frames += [spark.read.format("bam").load(p) for p in bams]
-    whole = frames[0]
-    for f in frames[1:]:
-        whole = whole.unionByName(f)
-    return whole
-
-
-def emit(lines: DataFrame, path: str, header: str | None = None) -> None:
-    """Text to a file or ``-``; rows come partition by partition, never all at once to standard output."""
+def emit(lines: DataFrame, path: str, header: str | None = None, parallel: bool = False) -> None:
+    """Text to a file or ``-``, row by row as partitions come in; or to a folder of part files, written by all tasks."""
+    if parallel and path != "-":
+        sinks.write_text(lines, path, "gzip" if path.endswith(".gz") else "bzip2" if path.endswith(".bz2") else None)
+        return
     values = (r.value for r in lines.toLocalIterator())
     if path == "-":
-        for x in ([header] if header is not None else []):
-            print(x)
-        for x in values:
+        for x in itertools.chain([header] if header is not None else [], values):
             print(x)
     else:
         sinks.write_file(values, header, path)
 
 
+def spooled(spark: SparkSession, stream) -> str:
+    """Standard input as a file in the shared folder, copied piece by piece."""
+    target = f"{scratch(spark)}/{uuid.uuid4().hex}.txt"
+    system, path = place(target)
+    system.create_dir(os.path.dirname(path))
+    with system.open_output_stream(path) as f:
+        while piece := stream.read(1 << 20):
+            f.write(piece.encode())
+    return target
+
+
 def run_fingerprint(a: argparse.Namespace) -> None:
     spark = session(a.threads)
     regions = None if a.references in (None, ["all"]) else a.references
-    tips = sam.read_tips(load(spark, a.inputs), a.families, a.mapping_quality, regions, a.tag)
+    alignments.common_references(spark, *a.inputs)  # an error if they differ
+    tips = sam.read_tips(alignments.load(spark, *a.inputs), a.families, a.mapping_quality, regions, a.tag)
     known = gff.annotation_intervals(gff.gff_lines(spark, a.annotation), a.families, regions) if a.annotation else None
     rows = fingerprint(tips, a.minimum_reads, a.epsilon, a.minimum_epsilon, a.splitting_method, a.common_elements, a.buffer, known, a.join_distance, not a.no_max_count_proportion, n_sources=len(a.inputs))
     flat = output_order(flatten_samples(rows, len(a.inputs), a.common_elements))
     if a.gff:
-        emit(sinks.feature_lines(flat, PROGRAM), a.gff)
+        emit(sinks.feature_lines(flat, PROGRAM), a.gff, parallel=a.parallel)
     for path, sep in ((a.tsv, "\t"), (a.csv, ",")):
         if path:
-            emit(sinks.tabular_lines(flat, sep, quote=True), path, sinks.header_line(flat, sep, quote=True))
+            emit(sinks.tabular_lines(flat, sep, quote=True), path, sinks.header_line(flat, sep, quote=True), a.parallel)
 
 
 def run_extract(a: argparse.Namespace) -> None:
     spark = session(a.threads)
-    reads, elements = extraction(load(spark, [a.input]), a.include_tips, not a.exclude_tails, not a.exclude_full_length, a.minimum_clip)
-    if a.aligned:
-        emit(sam.to_lines(tag_reads(load(spark, [a.aligned]), elements, a.tag)), a.output)
+    reads, elements = extraction(alignments.load(spark, a.input), a.include_tips, not a.exclude_tails, not a.exclude_full_length, a.minimum_clip)
+    if not a.aligned:
+        emit(sinks.fastq_lines(reads), a.output, parallel=a.parallel)
+        return
+    tagged = tag_reads(alignments.load(spark, a.aligned), elements, a.tag)
+    if a.output.endswith(".bam"):
+        bam.write_bam(tagged, a.output, alignments.common_references(spark, a.aligned))
     else:
-        emit(sinks.fastq_lines(reads), a.output)
+        emit(sam.to_lines(tagged), a.output, parallel=a.parallel)
 
 
 def run_filter(a: argparse.Namespace) -> None:
-    spark = session(1)
-    if a.input == "-":
-        lines = spark.createDataFrame([(x.rstrip("\r\n"), i) for i, x in enumerate(sys.stdin)], "value string, ord long")
-    else:
-        lines = gff.gff_lines(spark, a.input)
-    kept = keep_features(gff.parse_features(lines), all_of=a.all, any_of=a.any)
-    emit(kept.orderBy("ord").selectExpr("trim(value) as value"), a.output)
+    spark = session(a.threads)
+    lines = gff.gff_lines(spark, spooled(spark, sys.stdin) if a.input == "-" else a.input)
+    kept = keep_features(gff.parse_features(lines), all_of=a.all, any_of=a.any, strict=a.strict)
+    emit(kept.orderBy("ord").selectExpr("trim(value) as value"), a.output, parallel=a.parallel)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -99,11 +106,10 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("-j", "--join-distance", type=int, default=25)
     f.add_argument("--no-max-count-proportion", action="store_true")
     f.add_argument("--tag", default="ME")
-    f.add_argument("-t", "--threads", type=int, default=1)
     for kind in ("gff", "tsv", "csv"):
         f.add_argument(f"--{kind}")
     f.set_defaults(run=run_fingerprint)
-    e = jobs.add_parser("extract", help="informative reads as FASTQ, or tags on reads aligned again (--aligned)")
+    e = jobs.add_parser("extract", help="informative reads as FASTQ, or tags on reads aligned again (--aligned; an output ending in .bam is a folder of BAM files)")
     e.add_argument("input")
     e.add_argument("-o", "--output", default="-")
     e.add_argument("--aligned")
@@ -112,20 +118,24 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--exclude-full-length", action="store_true")
     e.add_argument("--minimum-clip", type=int, default=MIN_CLIP)
     e.add_argument("--tag", default="ME")
-    e.add_argument("-t", "--threads", type=int, default=1)
     e.set_defaults(run=run_extract)
     g = jobs.add_parser("filter", help="features that pass filters")
     g.add_argument("input", nargs="?", default="-")
     g.add_argument("-o", "--output", default="-")
     g.add_argument("--all", nargs="*", default=[])
     g.add_argument("--any", nargs="*", default=[])
+    g.add_argument("--strict", action="store_true", help="fail where a field to be compared by order is no number")
     g.set_defaults(run=run_filter)
+    for job in (f, e, g):
+        job.add_argument("-t", "--threads", type=int, help="run on this machine with so many threads, whatever else is configured")
+        job.add_argument("--parallel", action="store_true", help="write folders of part files by all tasks instead of single files")
     return top
 
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     a.run(a)
+    clear(SparkSession.active())
 
 
 if __name__ == "__main__":

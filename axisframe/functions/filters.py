@@ -30,8 +30,11 @@ def _number(text: str) -> float | None:
         return None
 
 
-def compare(value: Column, operator: str, text: str) -> Column:
-    """Equality by number if both sides are numbers, else as text; order by number, false if one side is none."""
+def compare(value: Column, operator: str, text: str, strict: bool = False) -> Column:
+    """Equality by number if both sides are numbers, else as text; order by number.
+
+    A field that is no number is before and after nothing, or an error if ``strict``.
+    """
     number, other = value.try_cast("double"), _number(text)
     if operator in ("==", "!="):
         same = value == F.lit(text)
@@ -41,21 +44,22 @@ def compare(value: Column, operator: str, text: str) -> Column:
     if other is None:
         raise ValueError(f"{text!r} is no number to compare with {operator}")
     test = {">": number > other, "<": number < other, ">=": number >= other, "<=": number <= other}[operator]
-    return F.coalesce(test, F.lit(False))
+    otherwise = F.raise_error(F.concat(F.lit(f"no number to compare with {operator}{text}: "), value)) if strict else F.lit(False)
+    return F.coalesce(test, otherwise)
 
 
-def field_filter(fields: Column, text: str, combine: str) -> Column:
+def field_filter(fields: Column, text: str, combine: str, strict: bool = False) -> Column:
     """One filter on a map of fields; a wildcard that matches no field is false, whatever it is combined by."""
     name, operator, value = parse_filter(text)
     chosen = F.map_filter(fields, lambda k, _: k.rlike(fnmatch.translate(name)))
-    test = lambda v: compare(v, operator, value)
+    test = lambda v: compare(v, operator, value, strict)
     hits = F.exists(F.map_values(chosen), test) if combine == "ANY" else F.forall(F.map_values(chosen), test)
     return (F.size(chosen) > 0) & hits
 
 
-def keep_features(df: DataFrame, fields: str = "fields", all_of: list[str] = (), any_of: list[str] = ()) -> DataFrame:
+def keep_features(df: DataFrame, fields: str = "fields", all_of: list[str] = (), any_of: list[str] = (), strict: bool = False) -> DataFrame:
     """Rows that pass all of the first list and, if there is one, any of the second."""
     m = F.col(fields)
-    every = conjunction([field_filter(m, f, "ALL") for f in all_of])
-    some = disjunction([field_filter(m, f, "ANY") for f in any_of]) if any_of else F.lit(True)
+    every = conjunction([field_filter(m, f, "ALL", strict) for f in all_of])
+    some = disjunction([field_filter(m, f, "ANY", strict) for f in any_of]) if any_of else F.lit(True)
     return df.where(every & some)

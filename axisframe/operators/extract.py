@@ -92,5 +92,8 @@ def anchor_intervals(sam: DataFrame, known: DataFrame, quality: int = 0, insert_
     rows = sam.where(P.conjunction(facing)).withColumn("_stop", stop.cast("long")).where("pnext - 1 > _stop")
     anchors = rows.select(F.col("rname").alias("reference"), "source", F.col("_stop").alias("start"), F.col("pnext").cast("long").alias("stop"))
     # Equal anchors are one: they have the same known features inside, and the union does not count.
-    anchors = contained_length(anchors.distinct(), known, ["reference"])
+    # One longer than the insert and all known features of its reference together cannot pass: it is not laid out in blocks.
+    all_known = known.groupBy(F.col("reference").alias("_r")).agg(F.sum(F.greatest(P.length(), F.lit(0))).alias("_all"))
+    near = anchors.distinct().join(all_known, F.col("reference") == F.col("_r"), "left").where(P.length() - F.coalesce("_all", F.lit(0)) <= insert_size)
+    anchors = contained_length(near.select("reference", "source", "start", "stop"), known, ["reference"])
     return union(anchors.where(P.length() - F.col("contained") <= insert_size), ["reference", "source"])

@@ -41,8 +41,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "gff_lines")
-    return clean_rows(lines, "line_id", "line", rule_errors(lines, "line_id", "line", table(spark, sf, "refs").select("reference")))
+    return clean_rows(table(spark, sf, "gff_lines"), "line_id", "line", table(spark, sf, "refs").select("reference"))
 
 
 P1_PERIODS = """
@@ -65,6 +64,35 @@ P1_PERIODS = """
     select 'gap', reference, strand, last_pos + 1, nxt - 1 from ahead where nxt - last_pos > 1)
 """
 
+#: A reader of the notation that takes one entry's head or one value off the front of each field at a time.
+P3_FOUND = r"""
+  with recursive walk as (
+    select gff_id, a as rest, '' as key, false as named, false as inside, 0 as pos, null::varchar as value
+    from (select distinct gff_id, attributes as a from gff where attributes is not null and trim(attributes, ' ') not in ('', '.'))
+    union all
+    select gff_id,
+           case when not inside then after_key when regexp_matches(after_value, '^[;&|\t\n\r,]') then substr(after_value, 2) else after_value end,
+           case when inside then key else head end,
+           case when inside then named else equal end,
+           case when inside then not regexp_matches(after_value, '^[;&|\t\n\r]') else equal or (after_key <> '' and not regexp_matches(after_key, '^[;&|\t\n\r]')) end,
+           case when inside and key <> '' then pos + 1 else pos end,
+           case when inside and key <> '' then url_decode(replace(replace(body, chr(92) || mark, mark), mark || mark, mark) || rtrim(bare, ' ')) end
+    from walk,
+    lateral (select regexp_replace(rest, '^[;&|\t\n\r ]+', '') as t),
+    lateral (select regexp_extract(t, '^([^;&|\t\n\r=]*)=', 1) as before),
+    lateral (select regexp_matches(t, '^[^;&|\t\n\r=]*=') and not regexp_matches(before, '[ ,][\x22\x27]') as equal),
+    lateral (select case when equal then trim(before, ' ') else regexp_extract(t, '^[^;&|\t\n\r ,]*') end as head),
+    lateral (select case when equal then substr(t, length(before) + 2) else ltrim(substr(t, length(head) + 1), ' ') end as after_key),
+    lateral (select ltrim(rest, ' ') as x),
+    lateral (select case when left(x, 1) in (chr(34), chr(39)) then left(x, 1) else chr(0) end as mark),
+    lateral (select case mark when chr(34) then regexp_extract(x, '^\x22(?:\\\x22|\x22\x22|[^\x22])*(?:\x22|$)') when chr(39) then regexp_extract(x, '^\x27(?:\\\x27|\x27\x27|[^\x27])*(?:\x27|$)') else '' end as q),
+    lateral (select case mark when chr(34) then regexp_extract(x, '^\x22((?:\\\x22|\x22\x22|[^\x22])*)(?:\x22|$)', 1) when chr(39) then regexp_extract(x, '^\x27((?:\\\x27|\x27\x27|[^\x27])*)(?:\x27|$)', 1) else '' end as body),
+    lateral (select regexp_extract(substr(x, length(q) + 1), case when named then '^[^;&|\t\n\r,]*' else '^[^;&|\t\n\r ,]*' end) as bare),
+    lateral (select ltrim(substr(x, length(q) + length(bare) + 1), ' ') as after_value)
+    where rest <> '')
+  select gff_id, pos::integer as pos, key as attr_key, value as attr_value from walk where value <> ''
+"""
+
 P4_FOUND = """
   cells as (select line_id, line, string_split(line, chr(9)) as c from gff_lines
             where line is not null and trim(line, chr(9) || chr(10) || chr(13) || ' ') <> '' and line not like '#%'),
@@ -97,6 +125,7 @@ def oracle_sql() -> dict[str, str]:
                           where reference is not null and tip is not null)
             select reference, me, count(*) as n_reads, cast(trunc(median(tip)) as bigint) as median_tip
             from once group by reference, me""",
+        "p3_found": P3_FOUND,
         "p4_found": f"with {P4_FOUND} select line_id, reason from judged where reason is not null",
         "p4_clean": f"""with {P4_FOUND}
             select line_id, c[1] as seqid, c[2] as source, c[3] as type, cast(c[4] as bigint) as start, try_cast(c[5] as bigint) as end_pos,

@@ -5,14 +5,16 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import itertools
+import posixpath
 import shutil
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from axisframe.functions.text import basename
 from axisframe.session import ship
+from axisframe.sources.files import expand, place
 
 #: The first bytes of gzip (also block-gzip) and bzip2 files.
 GZIP, BZIP2 = b"\x1f\x8b", b"BZh"
@@ -20,28 +22,30 @@ GZIP, BZIP2 = b"\x1f\x8b", b"BZh"
 LINES = 10_000
 
 
+def _opened(path: str) -> Iterator[str]:
+    """Lines of a file, unpacked as its first bytes say, read piece by piece."""
+    system, plain = place(path)
+    with system.open_input_file(plain) as raw:
+        head = raw.read(3)
+        raw.seek(0)
+        stream = gzip.GzipFile(fileobj=raw) if head[:2] == GZIP else bz2.BZ2File(raw) if head == BZIP2 else raw
+        yield from io.TextIOWrapper(io.BufferedReader(stream) if stream is not raw else stream, newline="\n")
+
+
 def _unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("value", pa.string()), ("source", pa.string())])
     for batch in batches:
-        for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            raw = io.BytesIO(content.as_py())
-            head = raw.getbuffer()[:3].tobytes()
-            opened = gzip.open(raw, "rt") if head[:2] == GZIP else bz2.open(raw, "rt") if head == BZIP2 else io.TextIOWrapper(raw)
-            held: list[str] = []
-            for line in opened:
-                held.append(line.rstrip("\r\n"))
-                if len(held) == LINES:
-                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([name] * len(held), pa.string())], schema=schema)
-                    held = []
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([name] * len(held), pa.string())], schema=schema)
+        for path in batch.column(0).to_pylist():
+            lines = _opened(path)
+            while held := [x.rstrip("\r\n") for x in itertools.islice(lines, LINES)]:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([posixpath.basename(path)] * len(held), pa.string())], ["value", "source"])
 
 
 def sniffed_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(value, source) of all lines. A file is read whole by one task; prefer names that Spark knows (.gz, .bz2) or plain text."""
+    """(value, source) of all lines. A file is one task's work, read piece by piece; prefer names that Spark knows (.gz, .bz2) or plain text."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(list(paths))
-    return files.select(basename("path").alias("source"), "content").mapInArrow(_unpack, "value string, source string")
+    found = [f for p in paths for f, _ in expand(p)]
+    files = spark.createDataFrame([(f,) for f in found], "path string").repartition(len(found))
+    return files.mapInArrow(_unpack, "value string, source string")
 
 
 def require_programs(*names: str) -> bool:

@@ -1,9 +1,13 @@
+import io
 import json
 import os
 import subprocess
 import sys
 
+import pytest
+
 from axisframe import cli
+from axisframe.sources import alignments
 from axisframe.streaming.reads import running_counts, stream_tips
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -14,7 +18,7 @@ def sam_text(shift=0):
     return "@SQ\tSN:chr1\tLN:1000\n" + "\n".join(reads) + "\n"
 
 
-def test_fingerprint_and_filter(spark, tmp_path, capsys):
+def test_fingerprint_and_filter(spark, tmp_path, capsys, monkeypatch):
     a, b, out = tmp_path / "a.sam", tmp_path / "b.sam", tmp_path / "out.gff"
     a.write_text(sam_text())
     b.write_text(sam_text(2))
@@ -26,6 +30,30 @@ def test_fingerprint_and_filter(spark, tmp_path, capsys):
     assert capsys.readouterr().out.strip() == lines[1]
     cli.main(["extract", str(a), "-o", str(tmp_path / "x.fastq.gz")])
     assert (tmp_path / "x.fastq.gz").stat().st_size > 0
+    # Standard input, tagged reads as BAM, folders of part files, and inputs that differ in their references.
+    monkeypatch.setattr("sys.stdin", io.StringIO(out.read_text()))
+    cli.main(["filter", "--any", "strand=+"])
+    assert capsys.readouterr().out.strip() == lines[0]
+    monkeypatch.setattr("sys.stdin", io.StringIO(out.read_text()))
+    with pytest.raises(Exception, match="no number"):
+        cli.main(["filter", "--strict", "--any", "strand>1"])
+    cli.main(["filter", str(out), "-o", str(tmp_path / "kept"), "--parallel"])
+    assert sorted(x for f in (tmp_path / "kept").glob("part-*") for x in f.read_text().splitlines()) == sorted(lines)
+    c = tmp_path / "c.sam"
+    c.write_text(sam_text().replace("chr1", "chr2"))
+    with pytest.raises(ValueError, match="references"):
+        cli.main(["fingerprint", str(a), str(c), "--gff", str(out)])
+
+
+def test_tagged_reads(spark, tmp_path):
+    reads = tmp_path / "pairs.sam"
+    dangling = "\n".join(f"q{i}\t69\tg1\t5\t0\t*\t=\t5\t0\tACGTACGTAC\tABCDEFGHIJ" for i in range(5))
+    reads.write_text("@SQ\tSN:g1\tLN:50\n" + dangling + "\n")
+    again = tmp_path / "again.sam"
+    again.write_text("@SQ\tSN:chr1\tLN:1000\n" + "\n".join(f"q{i}\t0\tchr1\t{9 + i}\t60\t10M\t*\t0\t0\tACGTACGTAC\tABCDEFGHIJ" for i in range(5)) + "\n")
+    cli.main(["extract", str(reads), "--aligned", str(again), "-o", str(tmp_path / "tagged.bam")])
+    rows = alignments.load(spark, str(tmp_path / "tagged.bam")).collect()
+    assert sorted((r.qname, r.pos, r.tags[-1]) for r in rows) == [(f"q{i}", 9 + i, "ME:Z:g1") for i in range(5)]
 
 
 def test_streaming(spark, tmp_path):

@@ -22,9 +22,18 @@ def test_reasons(spark):
     errors = rule_errors(df, "id", "line", refs)
     got = {r.id: r.reason for r in errors.collect()}
     assert got == {i: why for i, (_, why) in cases.items() if why not in (None, "skip")}
-    clean = clean_rows(df, "id", "line", errors).collect()
+    clean = clean_rows(df, "id", "line", refs).collect()
     assert sorted(r.id for r in clean) == [i for i, (_, why) in cases.items() if why is None]
     first = next(r for r in clean if r.id == 21)
     assert (first.seqid, first.start, first.end_pos, first.attributes) == ("chr1", 5, 9, GOOD.split("\t")[8])
     empty = rule_errors(df.limit(0), "id", "line", refs)
-    assert empty.count() == 0 and clean_rows(df.limit(0), "id", "line", empty).count() == 0
+    assert empty.count() == 0 and clean_rows(df.limit(0), "id", "line", refs).count() == 0
+
+
+def test_one_id_with_two_lines(spark):
+    """A faulty line does not take the good one of its id with it, and both good lines of an id load."""
+    other = GOOD.replace("gene", "exon")
+    df = spark.createDataFrame([(1, GOOD), (1, "a\tb"), (2, GOOD), (2, other), (None, other), (None, "x")], "id long, line string")
+    refs = spark.createDataFrame([("chr1",)], "reference string")
+    assert sorted((str(r.id), r.type) for r in clean_rows(df, "id", "line", refs).collect()) == [("1", "gene"), ("2", "exon"), ("2", "gene"), ("None", "exon")]
+    assert sorted((str(r.id), r.reason) for r in rule_errors(df, "id", "line", refs).collect()) == [("1", "columns"), ("None", "columns")]
