@@ -214,8 +214,8 @@ def _places(batch: pa.RecordBatch, column: int, t: Texts) -> tuple[np.ndarray, n
 def _probes(schema: pa.Schema, span: int, how: Hashing):
     """Windows looked at first; rows are (doc, text, lows, highs, marks).
 
-    Around each marked k-mer every GRID-th window, with the core that it and the GRID - 1 windows before it have in
-    common; and the window that begins at each k-mer between lows and highs (``mark`` -1). A core that
+    Around each marked k-mer every GRID-th window, and the window that begins at each k-mer between lows and highs
+    (``mark`` -1); each with its core, the part that it and the GRID - 1 windows before it have in common. A core that
     reaches the end of the text has no window of its own.
     """
     core, steps = span - GRID + 1, -(-(span - KMER + 1) // GRID)
@@ -234,7 +234,7 @@ def _probes(schema: pa.Schema, span: int, how: Hashing):
             own = np.searchsorted(t.starts, inner, "right") - 1
             good = inner + span <= t.starts[own + 1]
             inner, own = inner[good], own[good]
-            c = np.concatenate([t.hashes(at, core), np.zeros(len(inner), np.int64)])
+            c = np.concatenate([t.hashes(at, core), t.hashes(inner, core)])
             home, at = np.concatenate([home, own]), np.concatenate([at, inner])
             fits = at + span <= t.starts[home + 1]
             names = how.names(t, at[fits], span)
@@ -362,9 +362,9 @@ def candidate_spans(edges: DataFrame) -> DataFrame:
 
 
 def prefilter(docs: DataFrame, ids: DataFrame, key: str = "doc") -> DataFrame:
-    """``docs`` without most rows whose key is not in ``ids`` (a written table), to shuffle fewer texts; no key of ``ids`` is lost.
+    """``docs`` without most rows whose key is not in ``ids`` (a written table), to shuffle less; no key of ``ids`` is lost.
 
-    A bitmap of about BITS_EACH bits for each id is broadcast. If that were more than MOST_BITS all texts are kept.
+    A bitmap of about BITS_EACH bits for each id is broadcast. If that were more than MOST_BITS all rows are kept.
     """
     wanted = BITS_EACH * ids.count()
     if wanted > MOST_BITS:
@@ -409,13 +409,13 @@ def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None,
     schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("mark", pa.int32()), ("c", pa.int64()), ("f", arrow)])
     held = prefilter(docs, each).join(each, "doc").select("doc", "text", "lows", "highs", "marks")
     rows = cut(held.mapInArrow(_probes(schema, span, how), f"doc long, at int, mark int, c long, f {kind}"))
-    flagged = split_join(rows, shared_keys(rows.where("f is not null"), "f", places=True), "f", "left", "fways")
-    core = shared_keys(rows.where("mark >= 0"), "c").withColumn("cs", F.lit(True))
-    flagged = split_join(flagged, core, "c", "left").select("doc", "at", "mark", "c", "ways", F.col("lo_doc").isNotNull().alias("fs"), *_peer(), F.coalesce("cs", F.lit(False)).alias("cs"))
-    flagged = cut(flagged.where("fs or cs"))
+    # A window in two documents has its core in two: only rows that pass the one test take the other.
+    cores = cut(split_join(rows, shared_keys(rows, "c"), "c").select("doc", "at", "mark", "c", "f", "ways"))
+    flagged = split_join(cores, shared_keys(cores.where("f is not null"), "f", places=True), "f", "left", "fways")
+    flagged = cut(flagged.select("doc", "at", "mark", "c", "ways", F.col("lo_doc").isNotNull().alias("fs"), *_peer()))
     by_mark = Window.partitionBy("doc", "mark").orderBy("at")
     settled = F.col("fs") & F.coalesce(F.lag("fs").over(by_mark) & (F.lag("at").over(by_mark) == F.col("at") - GRID), F.lit(False))
-    blocks = cut(flagged.where("mark >= 0 and cs").select("doc", "at", "c", "ways", (~settled).alias("open")))
+    blocks = cut(flagged.where("mark >= 0").select("doc", "at", "c", "ways", (~settled).alias("open")))
     opened = split_join(blocks.select("doc", "at", "c", "ways"), blocks.where("open").groupBy("c").agg(F.max("ways").alias("ways")), "c").select("doc", "at").distinct()
     places = cut(opened.groupBy("doc").agg(F.collect_list("at").alias("places")))
     schema = pa.schema([("doc", pa.int64()), ("at", pa.int32()), ("h", arrow)])
@@ -423,7 +423,7 @@ def shared_windows(docs: DataFrame, marks: DataFrame, ranges: DataFrame | None,
     between = cut(held.mapInArrow(_between(schema, span, how), f"doc long, at int, h {kind}"))
     more = split_join(between, shared_keys(between, "h", places=True), "h").select("doc", "at", *_peer())
     every = cut(_once(flagged.where("fs").select("doc", "at", "pdoc", "pat").unionByName(more)))
-    discard(each, rows, flagged, blocks, places, between)
+    discard(each, rows, cores, flagged, blocks, places, between)
     return every
 
 
@@ -491,7 +491,8 @@ def shared_stretches(documents: DataFrame, row_id: str, text: str, span: int = S
 def _found(docs: DataFrame, span: int, how: Hashing) -> DataFrame:
     """(doc, at, pdoc, pat) of windows in two documents, as far as ``how`` tells them apart; their union is all that is shared."""
     all_kmers = cut(kmers(docs, how))
-    edges = cut(split_join(all_kmers, shared_keys(all_kmers, "h"), "h").select("doc", "ordinal", "at", "h", "ways"))
+    shared = shared_keys(all_kmers, "h")
+    edges = cut(split_join(prefilter(all_kmers, shared, "h"), shared, "h").select("doc", "ordinal", "at", "h", "ways"))
     discard(all_kmers)
     spans = cut(candidate_spans(edges))
     ways = edges.groupBy("h").agg(F.max("ways").alias("ways"))
