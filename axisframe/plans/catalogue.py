@@ -554,12 +554,12 @@ def annotation_scan(spark: SparkSession, sf: str) -> DataFrame:
     return gff.annotation_intervals(lines, ["mobile", "repeat", "repeat_r"]).where("start is not null and stop is not null")
 
 
-@query(f"""with {V.SAM} select qname, flag::integer as flag, rname, pos, mapq::integer as mapq, cigar, rnext, pnext, 0::bigint as tlen, seq, qual, source from sam""")
+@query(f"""with {V.SAM} select qname, flag::integer as flag, rname, pos, mapq::integer as mapq, cigar, rnext, pnext, 0::bigint as tlen, seq, qual from sam""")
 def sam_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Records written as text and parsed again."""
-    rows = V.sam(spark, sf)
-    text = rows.select(sam.line_of().alias("value"), "source")
-    return sam.parse_records(text).drop("tags")
+    """Records written as text files by all tasks and read again."""
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}.sam"
+    sinks.write_text(sam.to_lines(V.sam(spark, sf)), path)
+    return sam.read_sam(spark, path).drop("tags", "source")
 
 
 @query(f"""with {V.TIPS}, {_flat('tips', _H)}, spots as (select distinct {_H}, tip from tips),

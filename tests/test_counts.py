@@ -6,6 +6,7 @@ from axisframe.operators import headers as H
 from axisframe.plans.fingerprint import distinct_sources, fingerprint
 
 KEY = ("chr1", "+", "gypsy")
+#: Tips of two samples; the counts, medians, elements and pairs expected of them below are fixed too.
 TIPS = [("bam1", t, e) for t, e in ((2, "gypsy1"), (4, "gypsy1"), (5, "gypsy4"), (7, "gypsy4"), (7, "gypsy1"), (7, "gypsy7"), (8, "gypsy1"), (8, "gypsy1"))] + [("bam2", t, "gypsy1") for t in (3, 4, 6, 7, 7, 7, 7)] + [("bam2", 50, "gypsy7")]
 
 
@@ -109,6 +110,20 @@ def test_whole_job(spark):
         fingerprint(df.drop("element"))
 
 
+def test_more_samples_than_columns(spark):
+    """A wide form that is too narrow is an error, never a sample less."""
+    counted = C.count_reads(tips(spark), bins(spark, (1, 15)), BY)
+    assert C.flatten_samples(counted, 2).count() == 1
+    with pytest.raises(Exception, match="more than 1 samples"):
+        C.flatten_samples(counted, 1).collect()
+
+
+def test_output_order(spark):
+    rows = [("b", "+", "x", 1, 2), ("a", "-", "y", 5, 9), ("a", "+", "y", 5, 9), ("a", "+", "x", 5, 9), ("a", "+", "x", 5, 7), ("a", "+", "x", 3, 99)]
+    df = spark.createDataFrame(rows, "reference string, strand string, category string, start long, stop long")
+    assert [tuple(r) for r in H.output_order(df.repartition(4)).collect()] == sorted(rows, key=lambda r: (r[0], r[3], r[4], r[2], r[1]))
+
+
 def test_headers(spark):
     df = tips(spark)
     assert H.headers(df).count() == 2 and H.header_of(H.mutate_header(df, source=None)) == BY
