@@ -42,8 +42,8 @@ GRID = 8
 BITS_EACH, MOST_BITS = 8, 1 << 28
 #: Rows of a key that are never split.
 WHOLE = 10_000
-#: Characters a task works on at once.
-CHUNK = 1 << 20
+#: Characters a task works on at once, and most characters of a stretch that are compared as one.
+CHUNK, PIECE = 1 << 20, 1 << 16
 
 _MASK = (1 << 64) - 1
 
@@ -438,7 +438,9 @@ def unequal(docs: DataFrame, found: DataFrame, span: int) -> bool:
     rows = found.select("doc", "at", "pdoc", (F.col("at") - F.col("pat")).alias("_diagonal"))
     rows = rows.withColumn("_s", F.sum(F.when(F.col("at") - F.lag("at").over(beside) <= span, 0).otherwise(1)).over(beside))
     runs = rows.groupBy("doc", "pdoc", "_diagonal", "_s").agg(F.min("at").alias("low"), (F.max("at") - F.min("at") + F.lit(span)).alias("size"))
-    runs = cut(runs.select("doc", "low", "size", "pdoc", (F.col("low") - F.col("_diagonal")).alias("plow")))
+    # Long stretches are compared piece by piece, at the same places of both texts.
+    runs = runs.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(PIECE))))
+    runs = cut(runs.select("doc", (F.col("low") + F.col("_o")).alias("low"), F.least(F.lit(PIECE), F.col("size") - F.col("_o")).alias("size"), "pdoc", (F.col("low") + F.col("_o") - F.col("_diagonal")).alias("plow")))
     wanted = runs.unionByName(runs.select(F.col("pdoc").alias("doc"), F.col("plow").alias("low"), "size", "pdoc", "plow")).distinct()
     lists = cut(wanted.groupBy("doc").agg(F.collect_list(F.struct("low", "size", "pdoc", "plow")).alias("wanted")))
     schema = pa.schema([("pdoc", pa.int64()), ("plow", pa.int32()), ("size", pa.int32()), ("piece", pa.binary())])
