@@ -33,10 +33,19 @@ def _check(min_points: int, *epsilons: int | None) -> None:
         raise ValueError("epsilon must not be negative")
 
 
-def _stretches(points: DataFrame, by: list[str], field: str, min_points: int, epsilon: int | Column, block: int) -> DataFrame:
+def _stretches(points: DataFrame, by: list[str], field: str, min_points: int, epsilon: int | Column, block: int, most: int | None = None, weight: str | None = None) -> DataFrame:
+    """Every stretch of ``min_points`` points; with ``most`` only so many copies of a position are laid out.
+
+    ``min_points`` copies leave the union of all stretches as it is. They are counted map-side (``weight`` says how many there
+    are already), so a hot position, or a hot block, is no hot task.
+    """
     _check(min_points, None if isinstance(epsilon, Column) else epsilon)
     reach = epsilon if isinstance(epsilon, Column) else F.lit(epsilon)
-    p = points.select(*by, F.col(field).cast("long").alias("_at"), reach.cast("long").alias("_reach")).where("_at is not null and _reach is not null")
+    p = points.select(*by, F.col(field).cast("long").alias("_at"), reach.cast("long").alias("_reach"), *([F.col(weight).alias("_copies")] if weight else [])).where("_at is not null and _reach is not null")
+    if most:
+        if not weight:
+            p = p.groupBy(*by, "_at", "_reach").agg(F.count(F.lit(1)).alias("_copies"))
+        p = p.select(*by, "_at", "_reach", F.explode(F.sequence(F.lit(1), F.least("_copies", F.lit(most)).cast("int"))).alias("_copy"))
     low, own = block_of(F.col("_at") - F.col("_reach"), block), block_of(F.col("_at"), block)
     near = not isinstance(epsilon, Column) and epsilon < block
     p = p.select(*by, "_at", "_reach", F.explode(F.array_distinct(F.array(own, low)) if near else F.sequence(low, own)).alias("_block"))
@@ -51,9 +60,9 @@ def sub_clusters(points: DataFrame, by: list[str], field: str, min_points: int,
     return _stretches(points, by, field, min_points, epsilon, block).drop("_block")
 
 
-def dbican(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, epsilon: int | Column = 250, block: int = BLOCK) -> DataFrame:
-    """Flat clusters: by, ``start``, ``stop``. ``epsilon`` may be a column that is constant within a key; where it is null there are none."""
-    return union(_stretches(points, by, field, min_points, epsilon, block), by, block, "_block")
+def dbican(points: DataFrame, by: list[str], field: str = "tip", min_points: int = 10, epsilon: int | Column = 250, block: int = BLOCK, weight: str | None = None) -> DataFrame:
+    """Flat clusters: by, ``start``, ``stop``. ``weight`` names a column with the number of points each row stands for; ``epsilon`` may be a column that is constant within a key; where it is null there are none."""
+    return union(_stretches(points, by, field, min_points, epsilon, block, min_points, weight), by, block, "_block")
 
 
 def with_size(points: DataFrame, clusters: DataFrame, by: list[str], field: str = "tip", block: int = BLOCK) -> DataFrame:
@@ -220,8 +229,8 @@ def sdbican(points: DataFrame, by: list[str], field: str = "tip", min_points: in
         forks = cut(fork_epsilons(p, by, "_at", min_points, block).where("fork_epsilon is not null"))
         p = join_keys(p, forks.withColumn("_reach", F.col("fork_epsilon") - 1).drop("fork_epsilon"), by)
         reach = F.col("_reach")
-    clusters = cut(dbican(p, by, "_at", min_points, reach if epsilon is None else epsilon, block))
-    weights = p.groupBy(*by, "_at").agg(F.count(F.lit(1)).alias("_w"), F.max(reach).cast("long").alias("_e"))
+    weights = cut(p.groupBy(*by, "_at").agg(F.count(F.lit(1)).alias("_w"), F.max(reach).cast("long").alias("_e")))
+    clusters = cut(dbican(weights, by, "_at", min_points, F.col("_e") if epsilon is None else epsilon, block, "_w"))
     inside = sweep(weights, clusters, by, "_at", block)
     cluster = [*by, "start", "stop"]
     # A cluster without a gap wider than its densest stretch cannot fork; cheap tests first, then Python.

@@ -60,7 +60,7 @@ def sub_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {V.TIPS}, {_flat('tips', _H)} select {_H}, start, stop, n from flat")
 def dbican(spark: SparkSession, sf: str) -> DataFrame:
-    t = V.tips(spark, sf)
+    t = cut(V.tips(spark, sf))
     return density.with_size(t, density.dbican(t, BY, "tip", M, E), BY)
 
 
@@ -70,7 +70,7 @@ def dbican(spark: SparkSession, sf: str) -> DataFrame:
   from spots t left join flat f on t.reference = f.reference and t.strand = f.strand and t.category = f.category and t.source = f.source
     and t.tip between f.start and f.stop""")
 def dbican_labels(spark: SparkSession, sf: str) -> DataFrame:
-    t = V.tips(spark, sf)
+    t = cut(V.tips(spark, sf))
     found = density.labels(t, density.dbican(t, BY, "tip", M, E), BY)
     return found.withColumn("label", F.col("label").cast("long"))
 
@@ -237,7 +237,7 @@ _COUNTED = _counted_in(_flat("tips", _H), "flat")
 
 
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    t = V.tips(spark, sf)
+    t = cut(V.tips(spark, sf))
     found = I.union_buffered(density.dbican(t, BY, "tip", M, E), BY, B)
     return t, cut(I.union(found.select(*BY3, "start", "stop"), BY3))
 

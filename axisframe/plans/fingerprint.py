@@ -38,6 +38,8 @@ def fingerprint(
     """
     require(tips, *HEADER, "tip", "element")
     by_source, by = list(HEADER), list(HEADER[:3])
+    # Tips are read several times from here on, however they were made (parsed from text, deduplicated).
+    tips = cut(tips.select(*by_source, "tip", "element"))
     found = clusters(tips, by_source, "tip", min_points, epsilon, min_epsilon, method)
     joined = union(union_buffered(found, by_source, buffer).select(*by, "start", "stop"), by)
     # Clusters are few beside the tips and used several times from here on.

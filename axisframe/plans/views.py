@@ -13,14 +13,18 @@ CATEGORIES = ["CACTA", "Copia", "Copia_Co0", "Gypsy", "Gypsy_Gy1", "hAT", "Helit
 MIN_POINTS, EPSILON, BUFFER, DISTANCE = 5, 400, 50, 100
 
 
+def _reads(spark: SparkSession, sf: str) -> DataFrame:
+    reads = table(spark, sf, "read_tips").select("read_id", "reference", "strand", "category", "source", "tip", F.col("me").alias("element"))
+    return reads.dropna("any").where("strand <> '.'")
+
+
 def tips(spark: SparkSession, sf: str) -> DataFrame:
     """Reads with no null part, each delivery once."""
-    reads = table(spark, sf, "read_tips").select("read_id", "reference", "strand", "category", "source", "tip", F.col("me").alias("element"))
-    return reads.dropna("any").where("strand <> '.'").distinct().drop("read_id")
+    return _reads(spark, sf).distinct().drop("read_id")
 
 
 def n_sources(spark: SparkSession, sf: str) -> int:
-    return tips(spark, sf).select("source").distinct().count()
+    return _reads(spark, sf).select("source").distinct().count()
 
 
 TIPS = """tips as (
